@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, toxicity
+from . import decontaminate, mixing, sharding, toxicity, urlfilter
 
 QUERIES = {
+    "op1_url_filters": urlfilter.op1_url_filters,
+    "op2_sharding": sharding.op2_sharding,
+    "op6_mixing": mixing.op6_mixing,
     "op7_toxicity": toxicity.op7_toxicity,
     "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
 }
