@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, sharding, toxicity, urlfilter
+from . import decontaminate, embeddings, mixing, sharding, toxicity, urlfilter
 
 QUERIES = {
+    "op10_embedding_near_dedup": embeddings.op10_embedding_near_dedup,
     "op1_url_filters": urlfilter.op1_url_filters,
     "op2_sharding": sharding.op2_sharding,
     "op6_mixing": mixing.op6_mixing,
@@ -13,5 +14,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op10_embedding_near_dedup": embeddings.ORACLE,
     "op9_benchmark_decontamination": decontaminate.ORACLE,
 }
