@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embeddings, mixing, sharding, toxicity, urlfilter
+from . import chat, decontaminate, embeddings, mixing, sharding, substrings, tokencounts, toxicity, urlfilter
 
 QUERIES = {
+    "op3_substring_dedup": substrings.op3_substring_dedup,
+    "op5_token_counts": tokencounts.op5_token_counts,
+    "op8_chat_formatting": chat.op8_chat_formatting,
     "op10_embedding_near_dedup": embeddings.op10_embedding_near_dedup,
     "op1_url_filters": urlfilter.op1_url_filters,
     "op2_sharding": sharding.op2_sharding,
@@ -14,6 +17,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op8_chat_formatting": chat.ORACLE,
     "op10_embedding_near_dedup": embeddings.ORACLE,
     "op9_benchmark_decontamination": decontaminate.ORACLE,
 }
