@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, embeddings, mixing, sharding, substrings, tokencounts, toxicity, urlfilter
+from . import chat, decontaminate, embeddings, mixing, ngramjoin, sharding, substrings, tokencounts, toxicity, urlfilter
 
 QUERIES = {
+    "op4_ngram_jaccard_join": ngramjoin.op4_ngram_jaccard_join,
     "op3_substring_dedup": substrings.op3_substring_dedup,
     "op5_token_counts": tokencounts.op5_token_counts,
     "op8_chat_formatting": chat.op8_chat_formatting,
