@@ -1,10 +1,14 @@
-"""A corpus from raw documents: toxicity, near duplicates, benchmark leaks, mixture, shards."""
+"""A corpus from raw documents: toxicity, near duplicates, benchmark leaks, mixture, shards.
+
+Each stage works on what its predecessor kept and calls one operator of claimloom.llm; what
+passes between the stages is cut, so a lost executor costs one stage at most.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimloom.llm import decontaminate, toxicity
+from claimloom.llm import decontaminate, mixing, ngramjoin, sharding, toxicity
 from claimloom.llm.common import cut, table
 
 
@@ -13,14 +17,32 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.clean(docs, table(spark, sf_dir, "labels"))
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of the lowest doc_id stays."""
+    return ngramjoin.keep_one(docs)
+
+
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a verbatim window of a benchmark item go."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture to target weights takes them: a row for each time."""
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row with its virtual slot and the shard that the slot map gives it."""
+    return sharding.assign(docs)
+
+
 STAGES = [
     ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", drop_near_duplicates),
     ("benchmark decontamination", drop_leaks),
+    ("mixing sources to target weights", mix_sources),
+    ("sharding", deal_shards),
 ]
 
 #: Trained weights and seeded draws are beyond SQL; the tests hold run() against brute force.
@@ -28,7 +50,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows that the stages make of documents; what passes between them is cut."""
+    """The rows that the stages make of documents."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))
