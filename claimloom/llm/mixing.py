@@ -169,7 +169,7 @@ def mix(docs: DataFrame, shards: int = OUT_SHARDS, **how) -> DataFrame:
         raise ValueError("docs has a column named key")
     if rows.groupBy("key").count().where("count > 1").limit(1).count():
         texts = texts.dropDuplicates(["key"])  # equal rows: one stands for all, their copies add up
-    return texts.join(hinted(cut(taken), SMALL_ROWS), "key").drop("key")
+    return texts.join(cut(taken), "key").drop("key")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,6 +45,8 @@ N, PERCENT = 5, 80
 #: Most common shingles that are broadcast with their counts; 12 bytes each.
 FREQUENT = 1 << 18
 SMALL, ROUNDS = 8, 8
+#: Bits, as a power of two, of the sieve that spares most texts the way to verification.
+BITMAP = 24
 #: Classes, or pairs, up to which a table is broadcast; beyond, it is joined by shuffle.
 SMALL_ROWS = 50_000
 #: Hashes that one task handles at a time.
@@ -244,18 +246,32 @@ def postings(docs: DataFrame, total: int, common, n: int, percent: int) -> DataF
     return packed.groupBy("bucket").applyInArrow(meet, POSTINGS)
 
 
+def id_bitmap(ids: DataFrame, bits: int = BITMAP) -> bytes:
+    """Hashes of ids as a bitmap of 2**bits bits: a first sieve of a fixed size."""
+    at = ids.select(F.pmod("cid", F.lit(1 << bits)).alias("p"))  # digests are hashes already
+    parts = at.groupBy(F.shiftright("p", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("p") % (1 << 15)).alias("b"))
+    out = bytearray(1 << (bits - 3))
+    for part, b in parts.toLocalIterator():  # 2**(bits - 15) rows of 4 KB at most
+        out[part << 12 : (part + 1) << 12] = b
+    return bytes(out)
+
+
 def set_table(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(cid, items) for wanted (doc_id, cid): the sets, as packed sorted hashes."""
+    """(cid, items) for wanted (cid): the sets, as packed sorted hashes, made from the texts."""
+    sent = docs.sparkSession.sparkContext.broadcast(id_bitmap(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in (b.slice(i, 200) for i in range(0, b.num_rows, 200)):
-                made = [(w, s) for s, w in zip(_sets(part.column(1), n), part.column(2).to_pylist(), strict=True) if digest(s) == w]
-                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in made], pa.int64()), pa.array([s.astype("<u8").tobytes() for _, s in made], pa.binary())], names=["cid", "items"])
+                made = dict(_once(_sets(part.column(1), n)))
+                cids = np.array(list(made), np.int64)
+                if len(cids):
+                    at = cids & ((1 << BITMAP) - 1)
+                    keep = cids[np.frombuffer(sent.value, np.uint8)[at >> 3] >> (at & 7) & 1 == 1]
+                    yield pa.RecordBatch.from_arrays([pa.array(keep), pa.array([made[c].astype("<u8").tobytes() for c in keep.tolist()], pa.binary())], names=["cid", "items"])
 
-    wanted = hinted(wanted, SMALL_ROWS)
-    rows = _texts(docs).alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("d.doc_id", "d.text", "w.cid")
-    return rows.mapInArrow(run, "cid long, items binary").dropDuplicates(["cid"])
+    found = _texts(docs).mapInArrow(run, "cid long, items binary")
+    return found.join(wanted, "cid", "left_semi").groupBy("cid").agg(F.first("items").alias("items"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -288,9 +304,8 @@ def links(docs: DataFrame, rows: DataFrame, n: int = N, percent: int = PERCENT)
     slack = counted.where("n < need").join(held.toDF("a", "held_a"), "a").join(held.toDF("b", "held_b"), "b").where(F.col("n") + F.least("held_a", "held_b") >= F.col("need"))
     small = cut(counted.where("n >= need").select("a", "b").unionByName(slack.select("a", "b")))
 
-    names = rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
     used = small.select(F.col("a").alias("cid")).union(small.select("b")).union(big.select("cid")).distinct()
-    sets = cut(set_table(docs, cut(names.join(used, "cid").select("doc_id", "cid")), n))
+    sets = cut(set_table(docs, cut(used), n))
     edges = cut(verified(small, sets, percent))
 
     big = cut(big)
@@ -337,7 +352,7 @@ def keep_one(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     Rows that repeat a doc_id that stays, stay. Documents without words all stay.
     """
     gone = near_duplicates(docs, n, percent).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(hinted(cut(gone), SMALL_ROWS), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_anti")
+    return docs.join(hinted(cut(gone), 10 * SMALL_ROWS), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_anti")
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
