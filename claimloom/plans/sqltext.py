@@ -94,10 +94,10 @@ def segmented(source: str) -> str:
     """CTEs over source (doc_id, t), t normalized."""
     return rf"""
 blk AS (SELECT doc_id, unnest(string_split(t, {NL} || {NL})) AS b, unnest(range(1, len(string_split(t, {NL} || {NL})) + 1)) AS i, length(t) AS n FROM {source}),
-blo AS (SELECT *, CAST(coalesce(sum(length(b) + 2) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at FROM blk),
+blo AS (SELECT *, CAST(coalesce(sum(length(b) + 2) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos FROM blk),
 seen AS (SELECT *, regexp_matches({strip("b")}, '^#{{1,6}}\s+[^\n]*$') AS head FROM blo WHERE regexp_matches(b, '\S')),
 sec AS (SELECT *, CAST(sum(CAST(head AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS s FROM seen),
-par AS (SELECT doc_id, i, at AS p_start, at + length(b) AS p_end, b, s, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS p FROM sec WHERE NOT head),
+par AS (SELECT doc_id, i, pos AS p_start, pos + length(b) AS p_end, b, s, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS p FROM sec WHERE NOT head),
 pcs AS (SELECT doc_id, i, p, p_start, string_split({marked("b")}, chr(1)) AS ps FROM par),
 pc AS (SELECT doc_id, i, p, p_start, unnest(ps) AS x, unnest(range(1, len(ps) + 1)) AS k FROM pcs),
 po AS (SELECT *, CAST(coalesce(sum(length(x)) OVER (PARTITION BY doc_id, i ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS o FROM pc),
@@ -114,6 +114,7 @@ TURNS = "turns AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY c
 
 
 def names(t: str) -> str:
+    t = sub(t, r"[^\x00-\x7F]", "'_'")  # letters beyond ASCII are word characters, no borders
     cleaned = f"list_transform(regexp_extract_all({t}, '{W.NAME}'), lambda x: array_to_string(list_filter(string_split_regex(x, '\\s+'), lambda y: NOT list_contains({text_list(W.STOP_CAPS)}, y)), ' '))"
     return f"list_filter({cleaned}, lambda x: length(x) >= 3)"
 
