@@ -23,12 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, cut, hinted, mix, small_batches, table
+from .common import Words, cut, mix, small_batches, table
 
 MIN_WORDS = 30
 TINY = 4
-#: Repeated digests up to which their table is broadcast; beyond, it is joined by shuffle.
-SMALL_ROWS = 200_000
 _POWERS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)]
 UNITS = "doc_id long, unit int, start int, end int, words int, h1 long, h2 long"
 
@@ -83,8 +81,8 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     units = _units(docs)
     place = F.struct("doc_id", "unit")
     known = units.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
-    known = hinted(cut(known), SMALL_ROWS)
-    found = units.join(known, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
+    # by shuffle at any size: the repeated digests grow with the corpus
+    found = units.join(cut(known), ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
     per_doc = found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("unit", "start", "end", "words", F.col("first.doc_id").alias("origin")))).alias("units"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
