@@ -95,13 +95,13 @@ def first_map(stats: DataFrame, shards: int = SHARDS) -> DataFrame:
 def rebalance(old: DataFrame, stats: DataFrame, shards: int, slack: float = 0.01) -> DataFrame:
     """The next version of the map for new stats or another number of shards.
 
-    A shard keeps its slots, largest first, up to the mean plus slack; only what is beyond,
-    and the slots of shards that are no more, move.
+    A shard keeps its largest slot, and others by size up to the mean plus slack; only what is
+    beyond, and the slots of shards that are no more, move.
     """
     now = cut(old.select("version", "slot", "shard").join(stats, "slot"))
     mean = (now.agg(F.sum("bytes")).first()[0] or 0) / shards
     own = Window.partitionBy("shard").orderBy(F.desc("bytes"), "slot")
-    marked = now.withColumn("keep", (F.col("shard") < shards) & (F.sum("bytes").over(own) <= mean * (1 + slack)))
+    marked = now.withColumn("keep", (F.col("shard") < shards) & ((F.sum("bytes").over(own) <= mean * (1 + slack)) | (F.row_number().over(own) == 1)))
     marked = cut(marked)
     held = marked.where("keep").groupBy("shard").agg(F.sum("bytes").alias("b"))
     loads = now.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard")).join(held, "shard", "left").select("shard", F.coalesce("b", F.lit(0)).alias("bytes"))
