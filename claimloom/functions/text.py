@@ -46,8 +46,20 @@ BLOCKS = [
 ]
 
 
+#: What a text must contain for a rule to find anything: a cheap look before the pattern.
+SIGNS = {"code fence": ["```"], "image": ["!["], "link": ["]("], "reference link": ["]["], "inline code": ["`"], "tag": ["<"], "emphasis": ["*", "_"], "nested emphasis": ["*", "_"], "quote mark": [">"], "headings apart": ["#"], "soft breaks": ["\n"]}
+
+
 def _apply(text: Column, rules: list[tuple[str, str, str]]) -> Column:
-    return reduce(lambda t, r: F.regexp_replace(t, F.lit(r[1]), F.lit(r[2])), rules, text)
+    def step(t: Column, rule: tuple[str, str, str]) -> Column:
+        name, pattern, to = rule
+        if name not in SIGNS:
+            return F.regexp_replace(t, F.lit(pattern), F.lit(to))
+        # a lambda, so that the text so far is made once
+        there = lambda x: reduce(lambda a, b: a | b, [F.contains(x, F.lit(c)) for c in SIGNS[name]])
+        return F.get(F.transform(F.array(t), lambda x: F.when(there(x), F.regexp_replace(x, F.lit(pattern), F.lit(to))).otherwise(x)), F.lit(0))
+
+    return reduce(step, rules, text)
 
 
 def strip(text: Column) -> Column:
