@@ -15,10 +15,11 @@ l - 1, and a pair must share the smaller l of the two before it is verified. Pos
 prefixes meet by shingle; those of one class only end there.
 
 Pairs. A shingle of up to SMALL classes gives all their pairs of fitting sizes. One of more
-classes gives, in each round, the pairs of one class drawn by hash with the others that
-aren't in its component yet; verified links are merged, and when few pairs of different
-components are left, all of those are taken. So a group of thousands of near copies costs a
-few comparisons for each member, and no link between components is missed.
+classes gives, in each of ROUNDS rounds, the pairs of one class drawn by hash with the others
+that aren't in its component yet, and verified links are merged. Then all pairs that are
+still in different components are counted over the shingles they share. So a group of
+thousands of near copies costs a few comparisons for each member, and no link between
+components is missed.
 
 Verification intersects the whole sets of both classes, made anew from the texts.
 
@@ -44,13 +45,15 @@ from .common import Words, components, cut, hinted, mix, shingle_set, small_batc
 N, PERCENT = 5, 80
 #: Most common shingles that are broadcast with their counts; 12 bytes each.
 FREQUENT = 1 << 18
-SMALL, ROUNDS = 8, 8
+SMALL, ROUNDS = 8, 2
+#: Shingles of up to GATHER classes are met in tasks of some PER_GATHER postings; others by join.
+GATHER, PER_GATHER = 1 << 16, 1 << 14
 #: Bits, as a power of two, of the sieve that spares most texts the way to verification.
 BITMAP = 24
 #: Classes, or pairs, up to which a table is broadcast; beyond, it is joined by shuffle.
 SMALL_ROWS = 50_000
 #: Hashes that one task handles at a time.
-PER_BUCKET = 1 << 19
+PER_BUCKET = 1 << 18
 _TURN = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -299,40 +302,93 @@ def links(docs: DataFrame, rows: DataFrame, n: int = N, percent: int = PERCENT)
     common = frequent(docs, total, n)
     met = cut(postings(docs, total, common, n, percent))
     big = met.where("kind = 1").select("token", F.col("a").alias("cid"), "size", "need")
-    held = big.groupBy("cid").agg(F.count("*").alias("held"))
-    counted = met.where("kind = 0").groupBy("a", "b").agg(F.sum("count").alias("n"), F.min("need").alias("need"))
-    slack = counted.where("n < need").join(held.toDF("a", "held_a"), "a").join(held.toDF("b", "held_b"), "b").where(F.col("n") + F.least("held_a", "held_b") >= F.col("need"))
-    small = cut(counted.where("n >= need").select("a", "b").unionByName(slack.select("a", "b")))
+    counted = met.where("kind = 0").groupBy("a", "b").agg(F.sum("count").cast("long").alias("n"), F.min("need").alias("need"))
+    small = cut(counted.where("n >= need").select("a", "b"))
 
     used = small.select(F.col("a").alias("cid")).union(small.select("b")).union(big.select("cid")).distinct()
     sets = cut(set_table(docs, cut(used), n))
     edges = cut(verified(small, sets, percent))
 
-    big = cut(big)
+    # a class whose shared shingles, all in all, can't reach what any partner needs is out
+    held = big.groupBy("cid").agg(F.count("*").alias("held"))
+    beside = counted.select(F.col("a").alias("cid"), "n").unionByName(counted.select(F.col("b").alias("cid"), "n")).groupBy("cid").agg(F.max("n").alias("beside"))
+    p_least = F.floor(F.ceil(F.col("size") * percent / 100) * (100 - percent) / 100)
+    big = big.join(held, "cid").join(beside, "cid", "left").withColumn("most_shared", F.col("held") + F.coalesce("beside", F.lit(0)))
+    big = cut(big.where(F.col("most_shared") >= 1 + F.floor(p_least / 4)).select("token", "cid", "size", "need", "most_shared"))
     for turn in range(ROUNDS + 1):
         groups = components(edges).select(F.col("node").alias("cid"), "component")
         now = big.join(groups, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
         per = now.groupBy("token", "component").agg(F.count("*").alias("c"))
-        open_ = per.groupBy("token").agg(F.count("*").alias("groups"), F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("sq")).where("groups > 1")
-        open_ = cut(open_)
-        cross, members = open_.agg(F.sum((F.col("m") * F.col("m") - F.col("sq")) / 2), F.sum("m")).first()
-        if not cross:
+        per = per.groupBy("token").agg(F.count("*").alias("groups"), F.sum("c").alias("m"), F.max_by("component", "c").alias("most"), F.max("c").alias("c"))
+        open_ = cut(per.where("groups > 1").select("token", "m", "most", "c"))
+        if not open_.take(1):
             break
-        now = cut(now.join(hinted(open_.select("token"), SMALL_ROWS), "token"))
-        if turn == ROUNDS or cross <= 4 * members:
-            hub = now
-        else:  # of each shingle one class, drawn anew in each round
-            drawn = now.groupBy("token").agg(F.min_by("cid", F.xxhash64("token", "cid", F.lit(turn))).alias("cid"))
-            hub = now.join(hinted(cut(drawn), SMALL_ROWS), ["token", "cid"], "left_semi")
-        hub = hub.select("token", F.col("cid").alias("h"), F.col("size").alias("hs"), F.col("component").alias("hc"))
+        now = cut(now.join(open_, "token"))
         fit = F.least("size", "hs") * 100 >= F.greatest("size", "hs") * percent
-        pairs = now.join(hub, "token").where("component <> hc").where(fit).select(F.least("cid", "h").alias("a"), F.greatest("cid", "h").alias("b")).distinct()
+        side = [F.col("cid").alias("h"), F.col("size").alias("hs"), F.col("need").alias("hn"), F.col("component").alias("hc")]
+        ends = [F.least("cid", "h").alias("a"), F.greatest("cid", "h").alias("b")]
+        if turn < ROUNDS:  # of each shingle one class, drawn anew in each round
+            drawn = now.groupBy("token").agg(F.min_by(F.struct(*side), F.xxhash64("token", "cid", F.lit(turn))).alias("x")).select("token", "x.*")
+            pairs = now.join(drawn, "token").where("component <> hc").where(fit).select(*ends).distinct()
+            edges = cut(edges.unionByName(verified(pairs, sets, percent)))
+            continue
+        # what is left between components: every pair, counted; shingles of one component have none
+        tasks = max(4, now.where(F.col("m") <= GATHER).count() // PER_GATHER)
+        gathered = now.where(F.col("m") <= GATHER).withColumn("part", F.pmod(F.xxhash64("token"), F.lit(tasks)).cast("int"))
+        some = gathered.select("part", "token", "cid", "size", "need", "component", "most_shared").groupBy("part").applyInArrow(_across(percent), "a long, b long, n long, need int")
+        rare = now.where(F.col("m") > GATHER)
+        few = rare.where("component <> most").select("token", *side)
+        wide = rare.join(few, "token").where("component <> hc").where(fit).where("component = most or cid < h").select(*ends, F.lit(1).cast("long").alias("n"), F.least("need", "hn").cast("int").alias("need"))
+        shared = some.unionByName(wide).groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need"))
+        before = counted.select("a", "b", F.col("n").alias("n_small"))
+        pairs = shared.join(before, ["a", "b"], "left").where("n + coalesce(n_small, 0) >= need and coalesce(n_small, 0) < need").select("a", "b")
         edges = cut(edges.unionByName(verified(pairs, sets, percent)))
-        if turn == ROUNDS or cross <= 4 * members:
-            break
     return edges
 
 
+def _across(percent: int):
+    """Postings of some shingles -> pairs of classes of different components, with their counts."""
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by("token")
+        token, cid, size, comp = (part.column(c).to_numpy() for c in ("token", "cid", "size", "component"))
+        ids, who = np.unique(cid, return_inverse=True)
+        need, most = part.column("need").to_numpy().astype(np.int64), part.column("most_shared").to_numpy()
+        edges = np.flatnonzero(np.diff(token, prepend=token[0] - 1, append=token[-1] + 1))
+        held, waiting = np.zeros((2, 0), np.int64), []
+
+        def add(keys: np.ndarray) -> None:
+            nonlocal held, waiting
+            waiting.append(keys)
+            if sum(map(len, waiting)) > 1 << 19:
+                held, waiting = _sum(held, waiting), []
+
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            kinds, idx, counts = np.unique(comp[lo:hi], return_inverse=True, return_counts=True)
+            main = int(np.argmax(counts))
+            s = size[lo:hi].astype(np.int64)
+            for i in np.flatnonzero(idx != main):
+                j = np.flatnonzero((idx != idx[i]) & ((idx == main) | (np.arange(hi - lo) < i)) & (np.minimum(s, s[i]) * 100 >= np.maximum(s, s[i]) * percent))
+                j = j[np.minimum(most[lo + j], most[lo + i]) >= np.minimum(need[lo + j], need[lo + i])]
+                x, y = who[lo + i], who[lo + j]
+                add(np.minimum(x, y).astype(np.int64) << 32 | np.maximum(x, y))
+        held = _sum(held, waiting)
+        a, b = held[0] >> 32, held[0] & 0xFFFFFFFF
+        needs = np.zeros(len(ids), np.int64)
+        needs[who] = need
+        return pa.table({"a": pa.array(ids[a]), "b": pa.array(ids[b]), "n": pa.array(held[1]), "need": pa.array(np.minimum(needs[a], needs[b]).astype(np.int32))})
+
+    return run
+
+
+def _sum(held: np.ndarray, keys: list[np.ndarray]) -> np.ndarray:
+    """Distinct keys and their counts, those held so far with them."""
+    every = np.concatenate([held[0], *keys])
+    weight = np.concatenate([held[1], np.ones(len(every) - held.shape[1], np.int64)])
+    out, at = np.unique(every, return_inverse=True)
+    return np.stack([out, np.bincount(at, weight, len(out)).astype(np.int64)])
+
+
 def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id."""
     rows = cut(classes_of(docs, n))
