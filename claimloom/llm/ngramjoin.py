@@ -11,15 +11,21 @@ them), then by hash: rare first.
 Prefixes. Linked sets of sizes a and b share at least l of the first p + l - 1 shingles of
 each, p = size - ceil(size * percent / 100) + 1, for every l. A document whose prefix is
 costlier (longer, or with common shingles) gets a larger l: its prefix is lengthened by
-l - 1, and a pair must share the smaller l of the two before it is verified. Postings of
-prefixes meet by shingle; those of one class only end there.
-
-Pairs. A shingle of up to SMALL classes gives all their pairs of fitting sizes. One of more
-classes gives, in each of ROUNDS rounds, the pairs of one class drawn by hash with the others
-that aren't in its component yet, and verified links are merged. Then all pairs that are
-still in different components are counted over the shingles they share. So a group of
-thousands of near copies costs a few comparisons for each member, and no link between
-components is missed.
+l - 1, and a pair must share the smaller l of the two before it is verified. A shingle's
+level is the least l whose prefix holds it; a match counts for a pair if both levels are
+within the pair's l. Postings of prefixes meet by shingle; those of one class only end there.
+
+Pairs. A shingle of up to SMALL classes gives all their pairs of fitting sizes. Of more
+common ones, those of a class that can't reach the least l of any partner go: texts around a
+shared passage share fewer than l, for every l, if a fifth of each is its own. Then come
+three turns, the links of each merged before the next: every class with the likeliest of the
+classes drawn by hash from its shingles; every class with the likeliest of all it shares a
+shingle with; all pairs, counted. Each takes only pairs of different components whose parity
+signatures allow a link. So a group of thousands of near copies costs a few comparisons for
+each member, and no link between components is missed.
+
+Signatures. 2**k slots, at least 4 a shingle, each odd or even by the number of shingles
+hashed to it. Sets that differ in d shingles differ in d slots at most, so no link is lost.
 
 Verification intersects the whole sets of both classes, made anew from the texts.
 
@@ -45,9 +51,11 @@ from .common import Words, components, cut, hinted, mix, shingle_set, small_batc
 N, PERCENT = 5, 80
 #: Most common shingles that are broadcast with their counts; 12 bytes each.
 FREQUENT = 1 << 18
-SMALL, ROUNDS = 8, 2
+SMALL = 8
 #: Shingles of up to GATHER classes are met in tasks of some PER_GATHER postings; others by join.
 GATHER, PER_GATHER = 1 << 16, 1 << 14
+#: Slots of a parity signature, as powers of two: the least and the most.
+PARITY = 9, 16
 #: Bits, as a power of two, of the sieve that spares most texts the way to verification.
 BITMAP = 24
 #: Classes, or pairs, up to which a table is broadcast; beyond, it is joined by shuffle.
@@ -169,6 +177,11 @@ def prefix(s: np.ndarray, common: tuple[np.ndarray, np.ndarray], percent: int) -
     return s[order[: p + need - 1]], need
 
 
+def levels(m: int, need: int) -> np.ndarray:
+    """Of each shingle of a prefix of m: the least number of matches that lengthens a prefix to it."""
+    return np.maximum(1, np.arange(m) - (m - need) + 1)
+
+
 POSTINGS = "kind int, token long, a long, b long, size int, need int, count int"
 
 
@@ -177,7 +190,7 @@ def postings(docs: DataFrame, total: int, common, n: int, percent: int) -> DataF
 
     kind 0: a pair (a, b) that shares `count` shingles here, each of SMALL classes at most,
     and needs `need` in all; kind 1: class a, with its size and need, holds a shingle of more
-    classes, `token`.
+    classes, `token`, of level `count`.
     """
     buckets = 1 << min(24, max(5, int(np.ceil(np.log2(max(1, total * 0.35) / PER_BUCKET)))))
     sent = docs.sparkSession.sparkContext.broadcast(common)
@@ -189,32 +202,34 @@ def postings(docs: DataFrame, total: int, common, n: int, percent: int) -> DataF
                 continue
             token = np.concatenate([m[2] for m in made])
             own = np.repeat(np.arange(len(made)), [len(m[2]) for m in made])
+            level = np.concatenate([levels(len(m[2]), m[3]) for m in made])
             # the low bits decide: the high ones are what prefixes are sorted by
             bucket = (token & np.uint64(buckets - 1)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            token, own, bucket = token[order], own[order], bucket[order]
+            token, own, bucket, level = token[order], own[order], bucket[order], level[order]
             at = np.flatnonzero(np.diff(bucket, prepend=-1))
             cids, sizes, needs = (np.array([m[i] for m in made]) for i in (0, 1, 3))
             rows = []
             for lo, hi in zip(at, np.append(at[1:], len(token)), strict=True):
                 who, idx = np.unique(own[lo:hi], return_inverse=True)
-                rows.append((token[lo:hi].astype("<u8").tobytes(), idx.astype("<u2").tobytes(), cids[who].astype("<i8").tobytes(), np.stack([sizes[who], needs[who]]).astype("<u4").tobytes()))
+                rows.append((token[lo:hi].astype("<u8").tobytes(), np.stack([idx, np.minimum(level[lo:hi], 65535)]).astype("<u2").tobytes(), cids[who].astype("<i8").tobytes(), np.stack([sizes[who], needs[who]]).astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(bucket[at].astype(np.int32)), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(4))], names=["bucket", "tokens", "own", "cids", "facts"])
 
     def meet(part: pa.Table) -> pa.Table:
-        token, cid, size, need = [], [], [], []
+        token, cid, size, need, level = [], [], [], [], []
         for t, o, c, f in zip(*(part.column(k).to_pylist() for k in ("tokens", "own", "cids", "facts")), strict=True):
-            o, c, f = np.frombuffer(o, "<u2"), np.frombuffer(c, "<i8"), np.frombuffer(f, "<u4").reshape(2, -1)
+            (o, lv), c, f = np.frombuffer(o, "<u2").reshape(2, -1), np.frombuffer(c, "<i8"), np.frombuffer(f, "<u4").reshape(2, -1)
             token.append(np.frombuffer(t, "<u8"))
             cid.append(c[o])
             size.append(f[0][o])
             need.append(f[1][o])
-        token, cid, size, need = (np.concatenate(x) for x in (token, cid, size, need))
+            level.append(lv)
+        token, cid, size, need, level = (np.concatenate(x) for x in (token, cid, size, need, level))
         order = np.lexsort((cid, token))
-        token, cid, size, need = token[order], cid[order], size[order].astype(np.int64), need[order].astype(np.int64)
+        token, cid, size, need, level = token[order], cid[order], size[order].astype(np.int64), need[order].astype(np.int64), level[order].astype(np.int64)
         first = np.ones(len(token), bool)
         first[1:] = (token[1:] != token[:-1]) | (cid[1:] != cid[:-1])  # copies of a class in other batches
-        token, cid, size, need = token[first], cid[first], size[first], need[first]
+        token, cid, size, need, level = token[first], cid[first], size[first], need[first], level[first]
         at = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         m = np.diff(np.append(at, len(token)))
         out = []
@@ -241,7 +256,7 @@ def postings(docs: DataFrame, total: int, common, n: int, percent: int) -> DataF
             "b": np.concatenate([pairs[1], np.zeros(int(big.sum()), np.int64)]),
             "size": np.concatenate([z, size[big]]).astype(np.int32),
             "need": np.concatenate([pairs[2], need[big]]).astype(np.int32),
-            "count": np.concatenate([counts, np.zeros(int(big.sum()), np.int64)]).astype(np.int32),
+            "count": np.concatenate([counts, level[big]]).astype(np.int32),
         }
         return pa.table({k: pa.array(v) for k, v in cols.items()})
 
@@ -277,6 +292,73 @@ def set_table(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return found.join(wanted, "cid", "left_semi").groupBy("cid").agg(F.first("items").alias("items"))
 
 
+def parity(s: np.ndarray) -> bytes:
+    """A set's parity signature."""
+    slots = 1 << min(PARITY[1], max(PARITY[0], (4 * len(s) - 1).bit_length()))
+    odd = np.bincount((s & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def signatures(sets: DataFrame) -> DataFrame:
+    """(cid, size, sig) of sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [np.frombuffer(x.as_py(), "<u8") for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in made], pa.int32()), pa.array([parity(s) for s in made], pa.binary())], names=["cid", "size", "sig"])
+
+    return sets.mapInArrow(run, "cid long, size int, sig binary")
+
+
+class Parities:
+    """Signatures of some classes, each as it is and folded to half its length."""
+
+    def __init__(self, size: np.ndarray, sigs: list[bytes]):
+        self.size, self.bytes = size.astype(np.int64), np.array([len(x) for x in sigs], np.int64)
+        self.of = {}
+        for n in np.unique(self.bytes).tolist():
+            own, twice = np.flatnonzero(self.bytes == n), np.flatnonzero(self.bytes == 2 * n)
+            whole = np.frombuffer(b"".join(sigs[i] for i in own), "<u8").reshape(-1, n // 8)
+            halves = np.frombuffer(b"".join(sigs[i] for i in twice), "<u8").reshape(-1, n // 4)
+            row = np.zeros(len(sigs), np.int64)
+            row[own], row[twice] = np.arange(len(own)), len(own) + np.arange(len(twice))
+            self.of[n] = np.concatenate([whole, halves[:, : n // 8] ^ halves[:, n // 8 :]]), row
+
+    def differ(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The least number of shingles in which classes x and y can differ; 0 where lengths are too unlike."""
+        out = np.zeros(len(x), np.int64)
+        short, long = np.minimum(self.bytes[x], self.bytes[y]), np.maximum(self.bytes[x], self.bytes[y])
+        for n, (rows, row) in self.of.items():
+            sel = np.flatnonzero((short == n) & (long <= 2 * n))
+            step = max(1, (1 << 23) // n)
+            for at in (sel[i : i + step] for i in range(0, len(sel), step)):
+                out[at] = np.bitwise_count(rows[row[x[at]]] ^ rows[row[y[at]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+    def share(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Twice the most that they can share, of the sum of their sizes."""
+        both = self.size[x] + self.size[y]
+        return (both - self.differ(x, y)) / both
+
+    def near(self, share: np.ndarray, percent: int) -> np.ndarray:
+        return share * (100 + percent) >= 2 * percent - 1e-6
+
+
+def sieved(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    """(a, b, share) of the pairs (a, b) that signatures let link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.num_rows
+            all_ = Parities(np.concatenate([b.column(2).to_numpy(), b.column(4).to_numpy()]), b.column(3).to_pylist() + b.column(5).to_pylist())
+            share = all_.share(np.arange(n), n + np.arange(n))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(share)], names=["a", "b", "share"]).filter(pa.array(all_.near(share, percent)))
+
+    one, two = sigs.toDF("a", "a_size", "a_sig"), sigs.toDF("b", "b_size", "b_sig")
+    wide = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "a_size", "a_sig", "b_size", "b_sig")
+    return wide.mapInArrow(run, "a long, b long, share double")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link."""
 
@@ -301,21 +383,27 @@ def links(docs: DataFrame, rows: DataFrame, n: int = N, percent: int = PERCENT)
     total = rows.agg(F.sum("size")).first()[0] or 0
     common = frequent(docs, total, n)
     met = cut(postings(docs, total, common, n, percent))
-    big = met.where("kind = 1").select("token", F.col("a").alias("cid"), "size", "need")
+    big = met.where("kind = 1").select("token", F.col("a").alias("cid"), "size", "need", F.col("count").alias("level"))
     counted = met.where("kind = 0").groupBy("a", "b").agg(F.sum("count").cast("long").alias("n"), F.min("need").alias("need"))
     small = cut(counted.where("n >= need").select("a", "b"))
 
+    # a class whose matches can't reach what any partner needs is out: what it holds within a
+    # prefix grows by 1 with each match more at most, so the least need decides
+    least = F.ceil(F.col("size") * percent / 100)
+    floor_ = F.least(1 + F.floor(F.floor(least * (100 - percent) / 100) / 4), F.greatest(F.ceil(least * percent / 100), F.lit(1)))
+    held = big.groupBy("cid").agg(F.count("*").alias("held"), F.count(F.when(F.col("level") <= floor_, 1)).alias("held_first"))
+    beside = counted.select(F.col("a").alias("cid"), "n").unionByName(counted.select(F.col("b").alias("cid"), "n")).groupBy("cid").agg(F.max("n").alias("beside"))
+    big = big.join(held, "cid").join(beside, "cid", "left").withColumn("beside", F.coalesce("beside", F.lit(0)))
+    big = cut(big.where(F.col("held_first") + F.col("beside") >= floor_).withColumn("most_shared", F.col("held") + F.col("beside")).select("token", "cid", "size", "need", "level", "most_shared"))
+
     used = small.select(F.col("a").alias("cid")).union(small.select("b")).union(big.select("cid")).distinct()
     sets = cut(set_table(docs, cut(used), n))
+    sigs = cut(signatures(sets))
     edges = cut(verified(small, sets, percent))
-
-    # a class whose shared shingles, all in all, can't reach what any partner needs is out
-    held = big.groupBy("cid").agg(F.count("*").alias("held"))
-    beside = counted.select(F.col("a").alias("cid"), "n").unionByName(counted.select(F.col("b").alias("cid"), "n")).groupBy("cid").agg(F.max("n").alias("beside"))
-    p_least = F.floor(F.ceil(F.col("size") * percent / 100) * (100 - percent) / 100)
-    big = big.join(held, "cid").join(beside, "cid", "left").withColumn("most_shared", F.col("held") + F.coalesce("beside", F.lit(0)))
-    big = cut(big.where(F.col("most_shared") >= 1 + F.floor(p_least / 4)).select("token", "cid", "size", "need", "most_shared"))
-    for turn in range(ROUNDS + 1):
+    fit = F.least("size", "hs") * 100 >= F.greatest("size", "hs") * percent
+    within = F.greatest("level", "hl") <= F.least("need", "hn")
+    ends = [F.least("cid", "h").alias("a"), F.greatest("cid", "h").alias("b")]
+    for turn in ("drawn", "likeliest", "all"):
         groups = components(edges).select(F.col("node").alias("cid"), "component")
         now = big.join(groups, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
         per = now.groupBy("token", "component").agg(F.count("*").alias("c"))
@@ -324,44 +412,52 @@ def links(docs: DataFrame, rows: DataFrame, n: int = N, percent: int = PERCENT)
         if not open_.take(1):
             break
         now = cut(now.join(open_, "token"))
-        fit = F.least("size", "hs") * 100 >= F.greatest("size", "hs") * percent
-        side = [F.col("cid").alias("h"), F.col("size").alias("hs"), F.col("need").alias("hn"), F.col("component").alias("hc")]
-        ends = [F.least("cid", "h").alias("a"), F.greatest("cid", "h").alias("b")]
-        if turn < ROUNDS:  # of each shingle one class, drawn anew in each round
-            drawn = now.groupBy("token").agg(F.min_by(F.struct(*side), F.xxhash64("token", "cid", F.lit(turn))).alias("x")).select("token", "x.*")
-            pairs = now.join(drawn, "token").where("component <> hc").where(fit).select(*ends).distinct()
+        side = [F.col("cid").alias("h"), F.col("size").alias("hs"), F.col("need").alias("hn"), F.col("level").alias("hl"), F.col("component").alias("hc")]
+        if turn == "drawn":  # one class of each shingle
+            drawn = now.groupBy("token").agg(F.min_by(F.struct(*side), F.xxhash64("token", "cid")).alias("x")).select("token", "x.*")
+            pairs = now.join(drawn, "token").where("component <> hc").where(fit & within).select(F.col("cid").alias("a"), F.col("h").alias("b")).distinct()
+            best = sieved(pairs, sigs, percent).groupBy("a").agg(F.max_by("b", "share").alias("b"))
+            pairs = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             edges = cut(edges.unionByName(verified(pairs, sets, percent)))
             continue
-        # what is left between components: every pair, counted; shingles of one component have none
+        # shingles of one component have no pairs left
         tasks = max(4, now.where(F.col("m") <= GATHER).count() // PER_GATHER)
         gathered = now.where(F.col("m") <= GATHER).withColumn("part", F.pmod(F.xxhash64("token"), F.lit(tasks)).cast("int"))
-        some = gathered.select("part", "token", "cid", "size", "need", "component", "most_shared").groupBy("part").applyInArrow(_across(percent), "a long, b long, n long, need int")
+        gathered = gathered.select("part", "token", "cid", "size", "need", "level", "component", "most_shared")
+        beside_ = gathered.select("part", "cid").distinct().join(sigs.select("cid", "sig"), "cid").select("part", "cid", "sig").toDF("p", "c", "sig")
+        some = gathered.groupBy("part").cogroup(beside_.groupBy("p")).applyInArrow(_across(percent, turn == "likeliest"), "a long, b long, n long, need int")
+        if turn == "likeliest":
+            edges = cut(edges.unionByName(verified(some.select("a", "b").distinct(), sets, percent)))
+            continue
         rare = now.where(F.col("m") > GATHER)
         few = rare.where("component <> most").select("token", *side)
-        wide = rare.join(few, "token").where("component <> hc").where(fit).where("component = most or cid < h").select(*ends, F.lit(1).cast("long").alias("n"), F.least("need", "hn").cast("int").alias("need"))
+        wide = rare.join(few, "token").where("component <> hc").where(fit & within).where("component = most or cid < h").select(*ends, F.lit(1).cast("long").alias("n"), F.least("need", "hn").cast("int").alias("need"))
         shared = some.unionByName(wide).groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need"))
         before = counted.select("a", "b", F.col("n").alias("n_small"))
         pairs = shared.join(before, ["a", "b"], "left").where("n + coalesce(n_small, 0) >= need and coalesce(n_small, 0) < need").select("a", "b")
-        edges = cut(edges.unionByName(verified(pairs, sets, percent)))
+        edges = cut(edges.unionByName(verified(sieved(pairs, sigs, percent), sets, percent)))
     return edges
 
 
-def _across(percent: int):
-    """Postings of some shingles -> pairs of classes of different components, with their counts."""
+def _across(percent: int, likeliest: bool):
+    """Postings of some shingles, and signatures -> pairs of classes of different components
+    that signatures let link, with their counts; likeliest: for each class one at most."""
 
-    def run(part: pa.Table) -> pa.Table:
+    def run(part: pa.Table, beside: pa.Table) -> pa.Table:
         part = part.sort_by("token")
         token, cid, size, comp = (part.column(c).to_numpy() for c in ("token", "cid", "size", "component"))
-        ids, who = np.unique(cid, return_inverse=True)
-        need, most = part.column("need").to_numpy().astype(np.int64), part.column("most_shared").to_numpy()
+        ids, at, who = np.unique(cid, return_index=True, return_inverse=True)
+        need, level, most = (part.column(c).to_numpy().astype(np.int64) for c in ("need", "level", "most_shared"))
+        sig = dict(zip(beside.column("c").to_pylist(), beside.column("sig").to_pylist(), strict=True))
+        parities = Parities(size[at], [sig[c] for c in ids.tolist()])
         edges = np.flatnonzero(np.diff(token, prepend=token[0] - 1, append=token[-1] + 1))
         held, waiting = np.zeros((2, 0), np.int64), []
 
-        def add(keys: np.ndarray) -> None:
+        def add(keys: np.ndarray, last: bool = False) -> None:
             nonlocal held, waiting
             waiting.append(keys)
-            if sum(map(len, waiting)) > 1 << 19:
-                held, waiting = _sum(held, waiting), []
+            if last or sum(map(len, waiting)) > 1 << 19:
+                held, waiting = _sum(held, waiting, parities, percent), []
 
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
             kinds, idx, counts = np.unique(comp[lo:hi], return_inverse=True, return_counts=True)
@@ -369,11 +465,19 @@ def _across(percent: int):
             s = size[lo:hi].astype(np.int64)
             for i in np.flatnonzero(idx != main):
                 j = np.flatnonzero((idx != idx[i]) & ((idx == main) | (np.arange(hi - lo) < i)) & (np.minimum(s, s[i]) * 100 >= np.maximum(s, s[i]) * percent))
-                j = j[np.minimum(most[lo + j], most[lo + i]) >= np.minimum(need[lo + j], need[lo + i])]
+                least = np.minimum(need[lo + j], need[lo + i])
+                j = j[(np.minimum(most[lo + j], most[lo + i]) >= least) & (np.maximum(level[lo + j], level[lo + i]) <= least)]
                 x, y = who[lo + i], who[lo + j]
                 add(np.minimum(x, y).astype(np.int64) << 32 | np.maximum(x, y))
-        held = _sum(held, waiting)
+        add(np.zeros(0, np.int64), last=True)
         a, b = held[0] >> 32, held[0] & 0xFFFFFFFF
+        if likeliest:  # for the class of the smaller component
+            _, kind = np.unique(comp[at], return_inverse=True)
+            weight = np.bincount(kind)[kind]
+            mine = np.where(weight[a] <= weight[b], a, b)
+            order = np.lexsort((-parities.share(a, b), mine))
+            order = order[np.diff(mine[order], prepend=-1) != 0]
+            a, b, held = a[order], b[order], held[:, order]
         needs = np.zeros(len(ids), np.int64)
         needs[who] = need
         return pa.table({"a": pa.array(ids[a]), "b": pa.array(ids[b]), "n": pa.array(held[1]), "need": pa.array(np.minimum(needs[a], needs[b]).astype(np.int32))})
@@ -381,11 +485,12 @@ def _across(percent: int):
     return run
 
 
-def _sum(held: np.ndarray, keys: list[np.ndarray]) -> np.ndarray:
-    """Distinct keys and their counts, those held so far with them."""
-    every = np.concatenate([held[0], *keys])
-    weight = np.concatenate([held[1], np.ones(len(every) - held.shape[1], np.int64)])
-    out, at = np.unique(every, return_inverse=True)
+def _sum(held: np.ndarray, keys: list[np.ndarray], parities: Parities, percent: int) -> np.ndarray:
+    """Distinct keys that signatures let link and their counts, those held so far with them."""
+    new, n = np.unique(np.concatenate(keys), return_counts=True)
+    near = parities.near(parities.share(new >> 32, new & 0xFFFFFFFF), percent)
+    weight = np.concatenate([held[1], n[near]])
+    out, at = np.unique(np.concatenate([held[0], new[near]]), return_inverse=True)
     return np.stack([out, np.bincount(at, weight, len(out)).astype(np.int64)])
 
 
