@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 import numpy as np
@@ -39,6 +40,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files and checkpoints that nothing refers to any more.
+
+    It does so when the driver's garbage is collected, which is seldom: jobs of many steps
+    would hold the files of all of them.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def hinted(df: DataFrame, max_rows: int) -> DataFrame:
     """df (already cut) with a broadcast hint if it has max_rows rows at most, else as it is."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
@@ -184,6 +195,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         e = cut(small.where("a <> b").distinct())
+        release(e.sparkSession)
     else:
         raise RuntimeError("components did not settle")
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

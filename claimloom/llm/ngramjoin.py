@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, components, cut, hinted, mix, shingle_set, small_batches, table
+from .common import Words, components, cut, hinted, mix, release, shingle_set, small_batches, table
 
 N, PERCENT = 5, 80
 #: Most common shingles that are broadcast with their counts; 12 bytes each.
@@ -382,7 +382,9 @@ def links(docs: DataFrame, rows: DataFrame, n: int = N, percent: int = PERCENT)
     """(a, b): links of classes that keep every component whole. rows: classes_of(docs), cut."""
     total = rows.agg(F.sum("size")).first()[0] or 0
     common = frequent(docs, total, n)
+    release(docs.sparkSession)
     met = cut(postings(docs, total, common, n, percent))
+    release(docs.sparkSession)
     big = met.where("kind = 1").select("token", F.col("a").alias("cid"), "size", "need", F.col("count").alias("level"))
     counted = met.where("kind = 0").groupBy("a", "b").agg(F.sum("count").cast("long").alias("n"), F.min("need").alias("need"))
     small = cut(counted.where("n >= need").select("a", "b"))
@@ -400,10 +402,12 @@ def links(docs: DataFrame, rows: DataFrame, n: int = N, percent: int = PERCENT)
     sets = cut(set_table(docs, cut(used), n))
     sigs = cut(signatures(sets))
     edges = cut(verified(small, sets, percent))
+    release(docs.sparkSession)
     fit = F.least("size", "hs") * 100 >= F.greatest("size", "hs") * percent
     within = F.greatest("level", "hl") <= F.least("need", "hn")
     ends = [F.least("cid", "h").alias("a"), F.greatest("cid", "h").alias("b")]
     for turn in ("drawn", "likeliest", "all"):
+        release(docs.sparkSession)
         groups = components(edges).select(F.col("node").alias("cid"), "component")
         now = big.join(groups, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
         per = now.groupBy("token", "component").agg(F.count("*").alias("c"))
@@ -412,6 +416,7 @@ def links(docs: DataFrame, rows: DataFrame, n: int = N, percent: int = PERCENT)
         if not open_.take(1):
             break
         now = cut(now.join(open_, "token"))
+        release(docs.sparkSession)
         side = [F.col("cid").alias("h"), F.col("size").alias("hs"), F.col("need").alias("hn"), F.col("level").alias("hl"), F.col("component").alias("hc")]
         if turn == "drawn":  # one class of each shingle
             drawn = now.groupBy("token").agg(F.min_by(F.struct(*side), F.xxhash64("token", "cid")).alias("x")).select("token", "x.*")
