@@ -42,6 +42,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -499,26 +500,51 @@ def _sum(held: np.ndarray, keys: list[np.ndarray], parities: Parities, percent:
     return np.stack([out, np.bincount(at, weight, len(out)).astype(np.int64)])
 
 
-def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id."""
+def _grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Per row: doc_id, size, cid, component (its smallest cid), component_id."""
     rows = cut(classes_of(docs, n))
     edges = links(docs, rows, n, percent)
     names = rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
     groups = components(edges).select(F.col("node").alias("cid"), "component")
     named = cut(names.join(groups, "cid", "left").withColumn("component", F.coalesce("component", "cid")))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of = named.join(least, "component").select("cid", "component_id")
-    out = rows.join(of, "cid", "left")
+    return rows.join(named.join(least, "component").select("cid", "component", "component_id"), "cid", "left")
+
+
+def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id."""
+    out = _grouped(docs, n, percent)
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def _class(docs: DataFrame, n: int) -> DataFrame:
+    """docs with `__cid`, the class of each row's text."""
+
+    @F.pandas_udf("long")
+    def cid(texts: pd.Series) -> pd.Series:
+        return pd.Series([digest(s) for s in _sets(pa.array(texts, pa.string(), from_pandas=True), n)], dtype="Int64")
+
+    small_batches(docs.sparkSession)
+    return docs.withColumn("__cid", cid(F.col("text").cast("string")))
+
+
 def keep_one(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """Of each group of near duplicates the document of the lowest doc_id, columns as they are.
 
-    Rows that repeat a doc_id that stays, stay. Documents without words all stay.
+    Rows go by doc_id and class, so a row that links with nothing stays whatever its doc_id is.
+    Rows of a group that repeat the doc_id that stays, stay; of a group whose doc_ids are all
+    null one row stays, the least by a hash of its columns. Documents without words all stay.
     """
-    gone = near_duplicates(docs, n, percent).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(hinted(cut(gone), 10 * SMALL_ROWS), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_anti")
+    rows = cut(_grouped(docs, n, percent).where("cid is not null"))
+    gone = rows.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("cid").alias("__gone")).distinct()
+    idless = rows.where("component_id is null").select(F.col("cid").alias("__idless"), F.col("component").alias("__component")).distinct()
+    gone, idless = hinted(cut(gone), 10 * SMALL_ROWS), hinted(cut(idless), 10 * SMALL_ROWS)
+    own, id_ = _class(docs, n), F.col("doc_id").cast("long")
+    stay = own.join(gone, (F.col("__cid") == F.col("__gone")) & id_.eqNullSafe(F.col("__id")), "left_anti")
+    stay = stay.join(idless, F.col("__cid") == F.col("__idless"), "left_anti").select(*docs.columns)
+    row = F.struct(*docs.columns)
+    one = own.join(idless, F.col("__cid") == F.col("__idless")).groupBy("__component").agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("row"))
+    return stay.unionByName(one.select("row.*"))
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,6 +105,19 @@ def test_near_duplicates(docs, texts, none, monkeypatch):
     assert ngramjoin.near_duplicates(none).count() == 0
 
 
+def test_keep_one_goes_by_row(spark):
+    base = [prose(60) for _ in range(6)]
+    rows = [(1, base[0]), (None, base[0]), (None, base[1]), (None, base[2]), (None, None), (None, None), (4, base[0]), (4, base[3]), (None, base[4]), (None, base[4]), (None, edited(base[4], 1)), (6, base[5])]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = ngramjoin.keep_one(d)
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert out.columns == d.columns
+    sure = [(1, base[0]), (None, base[1]), (None, base[2]), (None, None), (None, None), (4, base[3]), (6, base[5])]
+    rest = [r for r in got if r not in sure]
+    assert sorted((r for r in got if r in sure), key=repr) == sorted(sure, key=repr)
+    assert len(rest) == 1 and rest[0] in {rows[8], rows[10]}
+
+
 def test_sharding(docs, texts, none, spark, tmp_path):
     out = sharding.assign(docs, shards=4, slots=64)
     assert out.count() == len(texts) and sorted(out.columns) == sorted(docs.columns + ["shard"])
