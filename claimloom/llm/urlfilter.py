@@ -3,9 +3,9 @@
 Each url's path is cut into segments; segments that are only variable by form (numbers,
 hexadecimal strings, file names with a number) become wildcards first. Then, level by level
 from the host down, the segments that follow a common prefix are compared: a segment stays
-literal only if it has `support` pages and `share` of its parent's pages (else it varies,
-and joins the wildcard `*`) and if its labelled pages are bad at another rate than those of
-its siblings (two-proportion test at `z`; branches that do not differ merge into `*`).
+literal only if it has `support` pages (else it varies, and joins the wildcard `*`) and if
+its labelled pages are bad at another rate than those of its siblings (two-proportion test
+at `z`; branches that do not differ merge into `*`).
 
 What remains are the host's templates. A template's purity is its share of bad labels,
 smoothed towards the host's rate, itself smoothed towards the rate of all; templates of a
@@ -15,8 +15,8 @@ quality 0 or toxic 1.
 Fixed rules (host, path) go first: a rule fits its host and all subdomains if the url's path
 begins with the rule's; the longest rule wins (of equally long ones the longer host's).
 
-The tree is grown on counts by distinct path form, never on pages, and each parent passes
-down at most 1 / share literals. A null url, or one without `://`, has an empty host and
+The tree is grown on counts by distinct path form, never on pages; literals are rows, any
+number for a parent. A null url, or one without `://`, has an empty host and
 path, fits no rule and belongs to the host ''; an empty path has no segments and is its own
 template. Pages without label count for support only; null labels are no labels, several
 labels of a page all count. Repeated pages are judged each. Extra columns are ignored.
@@ -38,7 +38,7 @@ RULES = (
     ("com", "/de/", "block"),
 )
 DEPTH = 4
-SUPPORT, SHARE, Z = 20, 0.02, 2.6
+SUPPORT, Z = 20, 2.6
 REJECT, PRIOR = 0.6, 10.0
 SMALL_ROWS = 100_000
 
@@ -78,7 +78,7 @@ def _bad(labels: DataFrame) -> DataFrame:
     return known.groupBy("page").agg(F.count("*").alias("lab"), F.sum("bad").alias("bad"))
 
 
-def grow(paths: DataFrame, depth: int = DEPTH, support: int = SUPPORT, share: float = SHARE, z: float = Z) -> DataFrame:
+def grow(paths: DataFrame, depth: int = DEPTH, support: int = SUPPORT, z: float = Z) -> DataFrame:
     """(host, form, template) for paths (host, form, n, lab, bad); form: array of segments."""
     at = cut(paths.withColumn("template", F.array().cast("array<string>")))
     for level in range(depth):
@@ -91,11 +91,10 @@ def grow(paths: DataFrame, depth: int = DEPTH, support: int = SUPPORT, share: fl
         spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), F.col("lab")) + F.try_divide(F.lit(1.0), rest_lab)))
         differs = F.abs(F.try_divide(F.col("bad"), F.col("lab")) - F.try_divide(rest_bad, rest_lab)) > F.lit(z) * spread
         alone = F.col("n") == F.col("all_n")
-        stays = (F.col("n") >= support) & (F.col("n") >= F.col("all_n") * share) & (alone | F.coalesce(differs, F.lit(False)))
-        literal = open_.join(parent, ["host", "template"]).where(stays).groupBy("host", "template").agg(F.collect_list("seg").alias("literal"))  # 1 / share each at most
-        down = at.join(hinted(cut(literal), SMALL_ROWS), ["host", "template"], "left")
-        kept = F.coalesce(F.array_contains("literal", seg), F.lit(False))
-        step = F.when(seg.isNull(), F.col("template")).otherwise(F.concat("template", F.array(F.when(kept, seg).otherwise(F.lit("*")))))
+        stays = (F.col("n") >= support) & (alone | F.coalesce(differs, F.lit(False)))
+        literal = cut(open_.join(parent, ["host", "template"]).where(stays).select("host", "template", "seg", F.lit(True).alias("literal")))
+        down = at.withColumn("seg", seg).join(hinted(literal, SMALL_ROWS), ["host", "template", "seg"], "left")
+        step = F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", F.array(F.when(F.col("literal"), F.col("seg")).otherwise(F.lit("*")))))
         at = down.select("host", "form", "n", "lab", "bad", step.alias("template"))
         at = cut(at)
     return at.withColumn("template", F.when(F.size("form") > depth, F.concat("template", F.array(F.lit("**")))).otherwise(F.col("template")))

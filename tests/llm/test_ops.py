@@ -308,6 +308,21 @@ def test_urls(spark):
     assert urlfilter.judge(pages.limit(0), labels).count() == 0 and urlfilter.judge(pages, labels.limit(0)).count() == len(urls + odd)
 
 
+def _verdicts(spark, urls, bad):
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(not bad(u)), 0) for i, u in enumerate(urls)], "doc_id long, quality int, toxic int")
+    return {urls[r["page_id"]]: (r["verdict"], r["template"]) for r in urlfilter.judge(pages, labels).collect()}
+
+
+def test_urls_small_branch_of_a_large_host(spark):
+    urls = [f"https://a.example.net/{d}/{i}" for d, n in (("fine", 3000), ("spam", 30), ("junk", 30)) for i in range(n)]
+    out = _verdicts(spark, urls, lambda u: "/fine/" not in u)
+    assert {v for u, v in out.items() if "/spam/" in u} == {("block", "/spam/{n}")} and {v for u, v in out.items() if "/fine/" in u} == {("allow", "/fine/{n}")}
+    many = [f"https://b.example.net/{d}{chr(97 + k // 26)}{chr(97 + k % 26)}/{i}" for d in ("ok-", "no-") for k in range(70) for i in range(25)]
+    out = _verdicts(spark, many, lambda u: "/no-aa/" in u)  # 1 of 140 branches, under a fiftieth of the pages
+    assert {u for u, v in out.items() if v[0] == "block"} == {u for u in many if "/no-aa/" in u}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
