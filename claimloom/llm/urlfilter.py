@@ -5,7 +5,8 @@ hexadecimal strings, file names with a number) become wildcards first. Then, lev
 from the host down, the segments that follow a common prefix are compared: a segment stays
 literal only if it has `support` pages (else it varies, and joins the wildcard `*`) and if
 its labelled pages are bad at another rate than those of its siblings (two-proportion test
-at `z`; branches that do not differ merge into `*`).
+at `z`; branches that do not differ merge into `*`). Levels follow one another until no
+prefix has `support` pages with a further segment; what is deeper is `*` throughout.
 
 What remains are the host's templates. A template's purity is its share of bad labels,
 smoothed towards the host's rate, itself smoothed towards the rate of all; templates of a
@@ -37,7 +38,6 @@ RULES = (
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 )
-DEPTH = 4
 SUPPORT, Z = 20, 2.6
 REJECT, PRIOR = 0.6, 10.0
 SMALL_ROWS = 100_000
@@ -51,14 +51,13 @@ def path_of(url: str = "url") -> Column:
     return F.coalesce(F.regexp_extract(F.col(url), r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def segments(path: Column, depth: int = DEPTH) -> Column:
-    """The first `depth` segments, variable ones as wildcards by form; what is deeper as `**`."""
+def segments(path: Column) -> Column:
+    """The segments, variable ones as wildcards by form."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    form = F.transform(
+    return F.transform(
         parts,
         lambda s: F.when(s.rlike(r"^[0-9]+$"), F.lit("{n}")).when(s.rlike(r"(?i)^[0-9a-f-]{12,}$"), F.lit("{x}")).when(s.rlike(r"[0-9]"), F.regexp_replace(s, r"[0-9]+", "{n}")).otherwise(s),
     )
-    return F.when(F.size(form) > depth, F.concat(F.slice(form, 1, depth), F.array(F.lit("**")))).otherwise(form)
 
 
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -78,14 +77,17 @@ def _bad(labels: DataFrame) -> DataFrame:
     return known.groupBy("page").agg(F.count("*").alias("lab"), F.sum("bad").alias("bad"))
 
 
-def grow(paths: DataFrame, depth: int = DEPTH, support: int = SUPPORT, z: float = Z) -> DataFrame:
-    """(host, form, template) for paths (host, form, n, lab, bad); form: array of segments."""
+def grow(paths: DataFrame, support: int = SUPPORT, z: float = Z) -> DataFrame:
+    """(host, form, n, lab, bad, template) for paths (host, form, n, lab, bad); form: array of segments."""
     at = cut(paths.withColumn("template", F.array().cast("array<string>")))
-    for level in range(depth):
-        seg = F.get("form", F.lit(level))
-        open_ = at.where(seg.isNotNull()).groupBy("host", "template", seg.alias("seg")).agg(*[F.sum(c).alias(c) for c in ("n", "lab", "bad")])
-        open_ = cut(open_)
-        parent = open_.groupBy("host", "template").agg(*[F.sum(c).alias(f"all_{c}") for c in ("n", "lab", "bad")])
+    done, level = [], 0
+    while True:
+        done.append(at.where(F.size("form") <= level))
+        at, seg = at.where(F.size("form") > level), F.get("form", F.lit(level))
+        open_ = cut(at.groupBy("host", "template", seg.alias("seg")).agg(*[F.sum(c).alias(c) for c in ("n", "lab", "bad")]))
+        parent = open_.groupBy("host", "template").agg(*[F.sum(c).alias(f"all_{c}") for c in ("n", "lab", "bad")]).where(F.col("all_n") >= support)
+        if not parent.limit(1).count():
+            break
         rest_lab, rest_bad = F.col("all_lab") - F.col("lab"), F.col("all_bad") - F.col("bad")
         pooled = F.try_divide(F.col("all_bad"), F.col("all_lab"))
         spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), F.col("lab")) + F.try_divide(F.lit(1.0), rest_lab)))
@@ -94,19 +96,23 @@ def grow(paths: DataFrame, depth: int = DEPTH, support: int = SUPPORT, z: float
         stays = (F.col("n") >= support) & (alone | F.coalesce(differs, F.lit(False)))
         literal = cut(open_.join(parent, ["host", "template"]).where(stays).select("host", "template", "seg", F.lit(True).alias("literal")))
         down = at.withColumn("seg", seg).join(hinted(literal, SMALL_ROWS), ["host", "template", "seg"], "left")
-        step = F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", F.array(F.when(F.col("literal"), F.col("seg")).otherwise(F.lit("*")))))
-        at = down.select("host", "form", "n", "lab", "bad", step.alias("template"))
-        at = cut(at)
-    return at.withColumn("template", F.when(F.size("form") > depth, F.concat("template", F.array(F.lit("**")))).otherwise(F.col("template")))
+        step = F.concat("template", F.array(F.when(F.col("literal"), F.col("seg")).otherwise(F.lit("*"))))
+        at = cut(down.select("host", "form", "n", "lab", "bad", step.alias("template")))
+        level += 1
+    rest = F.array_repeat(F.lit("*"), F.size("form") - level)
+    out = at.withColumn("template", F.concat("template", rest))
+    for part in done:
+        out = out.unionByName(part)
+    return out
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules=RULES, depth: int = DEPTH, reject: float = REJECT, prior: float = PRIOR) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, rules=RULES, reject: float = REJECT, prior: float = PRIOR) -> DataFrame:
     """Per page row: page_id, host, path, rule, verdict, template, purity."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of().alias("host"), path_of().alias("path"))
-    rows = cut(rows.withColumn("form", segments(F.col("path"), depth)))
+    rows = cut(rows.withColumn("form", segments(F.col("path"))))
     counted = rows.join(_bad(labels), F.col("page_id") == F.col("page"), "left")
     paths = counted.groupBy("host", "form").agg(F.count("*").alias("n"), F.coalesce(F.sum("lab"), F.lit(0)).alias("lab"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    tree = cut(grow(cut(paths), depth))
+    tree = cut(grow(cut(paths)))
 
     total = tree.agg(F.sum("bad"), F.sum("lab")).first()
     base = (total[0] or 0) / total[1] if total[1] else 0.0

@@ -323,6 +323,14 @@ def test_urls_small_branch_of_a_large_host(spark):
     assert {u for u, v in out.items() if v[0] == "block"} == {u for u in many if "/no-aa/" in u}
 
 
+def test_urls_deep_branches(spark):
+    urls = [f"https://a.example.net/en/a/b/c/{d}/{i}" for d in ("spam", "fine") for i in range(60)]
+    urls += [f"https://a.example.net/1/2/3/4/5/6/{d}/{i}/x" for d in ("bad", "good") for i in range(60)] + ["https://a.example.net/en/a/b/c/fine/1" + "/y" * 40]
+    out = _verdicts(spark, urls, lambda u: "/spam/" in u or "/bad/" in u)
+    assert {u for u, v in out.items() if v[0] == "block"} == {u for u in urls if "/spam/" in u or "/bad/" in u}
+    assert out[urls[0]][1] == "/*/*/*/*/spam/{n}" and out[urls[-1]][1].count("/") == 46
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
