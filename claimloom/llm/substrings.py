@@ -6,7 +6,9 @@ white space doesn't count. Digests are grouped over all documents; of each, the
 of the lowest (doc_id, unit) stays and the others are repeats. Repeats that follow one
 another form a passage; passages of `min_words` words or more are removed, by their offsets
 in the text as it was. Shorter ones (a stock line, "All rights reserved.") stay. Units of
-under TINY words, which meet by chance, go with a passage but don't count for its length.
+under TINY words, which meet by chance, go with a passage. They count for its length if
+they are repeated together with what follows them: from each, the fewest units that hold
+TINY words have a digest of their own, and a repeat of it counts all of them.
 
 Units without words aren't units. Null and empty texts have none and no row. Rows with one
 doc_id are one document, whose equal units are one occurrence; null doc_ids rank first and
@@ -28,15 +30,15 @@ from .common import Words, cut, mix, small_batches, table
 MIN_WORDS = 30
 TINY = 4
 _POWERS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)]
-UNITS = "doc_id long, unit int, start int, end int, words int, h1 long, h2 long"
+UNITS = "doc_id long, unit int, last int, start int, end int, words int, h1 long, h2 long"
 
 
 def units_of(col: pa.Array) -> dict[str, np.ndarray]:
-    """text (number of the text), unit, start, end (characters), words, h1, h2."""
+    """text (number of the text), unit, last (unit), start, end (characters), words, h1, h2."""
     w = Words(col)
     n = len(w.hash)
     if not n:
-        return {k: np.zeros(0, np.int64) for k in ("text", "unit", "start", "end", "words", "h1", "h2")}
+        return {k: np.zeros(0, np.int64) for k in ("text", "unit", "last", "start", "end", "words", "h1", "h2")}
     chars = np.concatenate([[0], np.cumsum((w.bytes & 0xC0) != 0x80)])
     lines = np.concatenate([[0], np.cumsum(w.bytes == 10)])
     back = w.end - 1
@@ -58,7 +60,26 @@ def units_of(col: pa.Array) -> dict[str, np.ndarray]:
     text = np.searchsorted(w.bounds, begins, side="right") - 1
     first = np.searchsorted(text, np.arange(len(w.bounds) - 1))
     origin = chars[w.at[text]]
-    return {"text": text, "unit": np.arange(len(ends)) - first[text], "start": chars[w.start[begins]] - origin, "end": chars[w.end[ends]] - origin, "words": size, "h1": h[0].view(np.int64), "h2": h[1].view(np.int64)}
+    unit = np.arange(len(ends)) - first[text]
+    out = {"text": text, "unit": unit, "last": unit, "start": chars[w.start[begins]] - origin, "end": chars[w.end[ends]] - origin, "words": size, "h1": h[0].view(np.int64), "h2": h[1].view(np.int64)}
+    # tiny units with what follows them, from u to v
+    u = np.flatnonzero(size < TINY)
+    v = np.searchsorted(ends, begins[u] + TINY - 1)
+    inside = v < len(ends)
+    u, v = u[inside], v[inside]
+    u, v = u[text[u] == text[v]], v[text[u] == text[v]]
+    if not len(u):
+        return out
+    long = ends[v] - begins[u] + 1
+    at = np.concatenate([[0], np.cumsum(long)[:-1]])
+    place = np.arange(long.sum()) - np.repeat(at, long)
+    h = []
+    for base in _POWERS:
+        powers = np.full(int(long.max()), base, np.uint64)
+        powers[0] = 1
+        h.append(mix(np.add.reduceat(w.hash[np.repeat(begins[u], long) + place] * np.cumprod(powers, dtype=np.uint64)[place], at) ^ long.astype(np.uint64)))
+    more = {"text": text[u], "unit": unit[u], "last": unit[v], "start": out["start"][u], "end": out["end"][v], "words": long, "h1": h[0].view(np.int64), "h2": h[1].view(np.int64)}
+    return {k: np.concatenate([out[k], more[k]]) for k in out}
 
 
 def _units(docs: DataFrame) -> DataFrame:
@@ -66,8 +87,8 @@ def _units(docs: DataFrame) -> DataFrame:
         for b in batches:
             u = units_of(b.column(1))
             cols = [b.column(0).take(pa.array(u["text"]))]
-            cols += [pa.array(u[k].astype(np.int32)) for k in ("unit", "start", "end", "words")] + [pa.array(u[k]) for k in ("h1", "h2")]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "unit", "start", "end", "words", "h1", "h2"])
+            cols += [pa.array(u[k].astype(np.int32)) for k in ("unit", "last", "start", "end", "words")] + [pa.array(u[k]) for k in ("h1", "h2")]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "unit", "last", "start", "end", "words", "h1", "h2"])
 
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, UNITS)
@@ -83,16 +104,17 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     known = units.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
     # by shuffle at any size: the repeated digests grow with the corpus
     found = units.join(cut(known), ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
-    per_doc = found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("unit", "start", "end", "words", F.col("first.doc_id").alias("origin")))).alias("units"))
+    per_doc = found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("unit", "last", "start", "end", "words", F.col("first.doc_id").alias("origin")))).alias("units"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for doc, us in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 held: list[dict] = []
-                for u in [*us, None]:
+                counted = {n for u in us if u["last"] > u["unit"] for n in range(u["unit"], u["last"] + 1)}
+                for u in [*(u for u in us if u["last"] == u["unit"]), None]:
                     if held and (u is None or u["unit"] != held[-1]["unit"] + 1):
-                        if sum(x["words"] for x in held if x["words"] >= TINY) >= min_words:
+                        if sum(x["words"] for x in held if x["words"] >= TINY or x["unit"] in counted) >= min_words:
                             n = sum(x["words"] for x in held)
                             out.append({"doc_id": doc, "start": held[0]["start"], "end": held[-1]["end"], "n_words": n, "n_units": len(held), "first_doc_ids": sorted({x["origin"] for x in held}, key=lambda x: (x is not None, x))})
                         held = []

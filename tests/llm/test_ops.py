@@ -233,6 +233,16 @@ def test_substrings(spark, none):
     assert substrings.repeats(none).count() == 0
 
 
+def test_substrings_of_short_units(spark):
+    verse = "\n".join(f"{a} {b}!" for a, b in zip(prose(80).split(" "), range(80), strict=True))
+    words = [f"v{i}" for i in range(120)]
+    rows = [(1, verse), (2, f"Own words here. \n{verse}\nThe end of it."), (3, "\n".join(words)), (4, "\n".join(words[::-1])), (5, "All rights.\n" + prose(9)), (6, "All rights.\n" + prose(9))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in substrings.repeats(d).collect()}
+    assert set(got) == {2}  # the words of 4 are those of 3 in another order
+    assert rows[1][1][got[2]["start"] : got[2]["end"]] == verse and got[2]["n_words"] == 160
+
+
 @pytest.mark.parametrize("rule", tokencounts.RULES)
 def test_tokens(docs, texts, none, rule):
     encoding, _ = tokencounts.encoder(tokencounts.VOCABULARY, tokencounts.PATTERN)
