@@ -1,6 +1,9 @@
 """The claim engine on small inputs of our own."""
 
+import difflib
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +17,7 @@ from claimloom.operators import dispose, evaluate, identify, propose
 from claimloom.operators import segment as G
 from claimloom.operators import windows as W
 from claimloom.plans.analyze import analyze
+from claimloom.plans.queries import QUERIES
 from claimloom.plans.report import document_reports
 from claimloom.schemas import REPLIES
 from claimloom.sources import files
@@ -222,3 +226,37 @@ def test_gold_folder_and_cli(spark, tmp_path, capsys):
     assert "| grid-note | 2 |" in shown and "Missed gold claims" in shown
     register(spark)
     assert spark.sql("SELECT json_salvage('x [1,] y').json AS j").first()["j"] == "[1]"
+
+
+def test_best_sentence_against_all_ratios():
+    rng = random.Random(3)
+    fold = lambda s: re.sub(r"\s+", " ", s).casefold().strip(dispose.EDGES)
+
+    def plain(window, quote):
+        best, top = None, 0.0
+        for s in re.split(r"(?<=[.!?])\s+", window):
+            if s.strip() and (r := difflib.SequenceMatcher(None, fold(s), fold(quote)).ratio()) > top:
+                best, top = s, r
+        return None if best is None or top < dispose.FUZZY else (best, window.find(best), window.find(best) + len(best))
+
+    for _ in range(60):
+        parts = [" ".join(rng.choices(["ice", "grid", "Wind", "über", "12", "the", "load"], k=rng.randint(1, 60))) + "." for _ in range(12)]
+        window = "  ".join(parts + parts[:2] + ["...", "."])
+        for s in parts[:4] + ["", "Indeed"]:
+            quote = "Indeed " + s.rsplit(" ", 1)[0]
+            assert dispose.best_sentence(window, quote) == plain(window, quote)
+    assert dispose.best_sentence("", "x") is None
+
+
+def test_fuzzy_align_reaches_every_sentence(spark, tmp_path):
+    rng = random.Random(4)
+    say = lambda: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(12)).capitalize() + "."
+    text = "\n\n".join(" ".join(say() for _ in range(6)) for _ in range(8)) + "\n\nShort one."
+    spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spans = {r["n"]: (r["start"], r["end"]) for r in QUERIES["sentence_spans"](spark, str(tmp_path)).collect()}
+    out = QUERIES["quote_fuzzy_align"](spark, str(tmp_path)).collect()
+    assert len(spans) == len(out) == 49 and {r["n"] for r in out} == set(spans) and max(e for _, e in spans.values()) > 3000
+    for r in out:
+        if r["n"] < 48:
+            assert r["how"] == "fuzzy" and (r["start"], r["end"]) == spans[r["n"]]
+    assert [(r["how"], r["start"]) for r in out if r["n"] == 48] == [(None, -1)]
