@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -18,9 +19,14 @@ too very just also into over under between about against during before
 after above below up down out off again further once here there because
 while although though since until unless
 """.split()
+# What a token is, and how many first letters of it count.
 WORD = r"[A-Za-z0-9][A-Za-z0-9\-']*"
 KEY = 5
+#: Elements that one fold takes at a time: folds copy what they have made so far.
+CHUNK = 256
 
+# The patterns of MARKUP, LAYOUT and BLOCKS, which decide the text. The pattern of
+# emphasis is the shorter form of one alternative for each of the marks *, **, ***, _, __, ___.
 #: Markup rules in order: (name, pattern, replacement). (?d): only \n ends a line; (?U): Unicode white space.
 MARKUP = [
     ("code fence", r"(?s)```.*?```", " "),
@@ -50,14 +56,33 @@ BLOCKS = [
 SIGNS = {"code fence": ["```"], "image": ["!["], "link": ["]("], "reference link": ["]["], "inline code": ["`"], "tag": ["<"], "emphasis": ["*", "_"], "nested emphasis": ["*", "_"], "quote mark": [">"], "headings apart": ["#"], "soft breaks": ["\n"]}
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with the value made once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def chunks(xs: Column) -> Column:
+    """xs as an array of arrays of CHUNK elements at most; of none, one empty array."""
+    last = F.greatest(F.ceil(F.size(xs) / CHUNK).cast("int") - 1, F.lit(0))
+    return F.transform(F.sequence(F.lit(0), last), lambda c: F.slice(xs, c * CHUNK + 1, F.lit(CHUNK)))
+
+
+def running(xs: Column) -> Column:
+    """For each of an array of ints the sum of those before it, folded by chunks in linear time."""
+    ints, lists = F.array().cast("array<int>"), F.array().cast("array<array<int>>")
+    begin = lambda out: F.struct(F.lit(0).alias("at"), out.alias("out"))
+    local = lambda c: F.aggregate(c, begin(ints), lambda a, x: F.struct((a["at"] + x).cast("int").alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))
+    add = lambda a, c: F.struct((a["at"] + c["at"]).cast("int").alias("at"), F.concat(a["out"], F.array(F.transform(c["out"], lambda x: (x + a["at"]).cast("int")))).alias("out"))
+    return F.aggregate(F.transform(let(xs, chunks), local), begin(lists), add, lambda a: F.flatten(a["out"]))
+
+
 def _apply(text: Column, rules: list[tuple[str, str, str]]) -> Column:
     def step(t: Column, rule: tuple[str, str, str]) -> Column:
         name, pattern, to = rule
         if name not in SIGNS:
             return F.regexp_replace(t, F.lit(pattern), F.lit(to))
-        # a lambda, so that the text so far is made once
         there = lambda x: reduce(lambda a, b: a | b, [F.contains(x, F.lit(c)) for c in SIGNS[name]])
-        return F.get(F.transform(F.array(t), lambda x: F.when(there(x), F.regexp_replace(x, F.lit(pattern), F.lit(to))).otherwise(x)), F.lit(0))
+        return let(t, lambda x: F.when(there(x), F.regexp_replace(x, F.lit(pattern), F.lit(to))).otherwise(x))
 
     return reduce(step, rules, text)
 
@@ -91,19 +116,15 @@ def squeeze(text: Column) -> Column:
 
 def claim_text(text: Column) -> Column:
     """A claim's wording: one line, a capital first, an end mark last. Null counts as empty."""
-    t = squeeze(F.coalesce(text, F.lit("")))
-    t = F.when(t.rlike(r"^\p{Ll}"), F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, F.lit(2), F.length(t)))).otherwise(t)
-    return F.when((t == "") | t.rlike(r"[.!?]$"), t).otherwise(F.concat(t, F.lit(".")))
-
-
-def stopwords() -> Column:
-    return F.array(*map(F.lit, STOPWORDS))
+    capital = lambda t: F.when(t.rlike(r"^\p{Ll}"), F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, F.lit(2), F.length(t)))).otherwise(t)
+    ended = lambda t: F.when((t == "") | t.rlike(r"[.!?]$"), t).otherwise(F.concat(t, F.lit(".")))
+    return let(let(squeeze(F.coalesce(text, F.lit(""))), capital), ended)
 
 
 def content_tokens(text: Column) -> Column:
     """Lower-cased ASCII words of 3 letters or more that aren't stopwords, with repeats."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
-    return F.filter(F.transform(found, lambda w: F.lower(w)), lambda w: (F.length(w) > 2) & ~F.array_contains(stopwords(), w))
+    return F.filter(F.transform(found, lambda w: F.lower(w)), lambda w: (F.length(w) > 2) & ~w.isin(STOPWORDS))
 
 
 def key(token: Column) -> Column:
@@ -117,22 +138,8 @@ def keys(tokens: Column) -> Column:
 
 def coverage(tokens: Column, pool_keys: Column) -> Column:
     """Share of tokens, with repeats, whose key is in the pool; null without tokens."""
-    hits = F.size(F.filter(tokens, lambda t: F.array_contains(pool_keys, key(t))))
-    return F.when(F.size(tokens) > 0, hits / F.size(tokens))
-
-
-def overlap(a: Column, b: Column) -> Column:
-    """Symmetric share of distinct tokens that match the other side; 0 if either has none."""
-    a, b = F.array_distinct(a), F.array_distinct(b)
-    ka, kb = keys(a), keys(b)
-    hits = F.size(F.filter(a, lambda t: F.array_contains(kb, key(t)))) + F.size(F.filter(b, lambda t: F.array_contains(ka, key(t))))
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), hits / (F.size(a) + F.size(b))).otherwise(F.lit(0.0))
-
-
-def jaccard(a: Column, b: Column) -> Column:
-    """Of two sets of whole tokens; 0 if either is empty."""
-    union = F.size(F.array_union(a, b))
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(0.0))
+    share = lambda ts, ks: F.when(F.size(ts) > 0, F.size(F.filter(ts, lambda t: F.array_contains(ks, key(t)))) / F.size(ts))
+    return let(pool_keys, lambda ks: let(tokens, lambda ts: share(ts, ks)))
 
 
 def sequence_repr(items: Column) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 # Endings in a full stop that end no sentence.
 ABBREVIATIONS = [
     "dr.", "mr.", "mrs.", "ms.", "prof.", "sr.", "jr.", "st.",
@@ -35,9 +37,7 @@ def sentence_pattern(strict: bool = False) -> str:
 
 def _placed(parts: Column, gap: int = 0) -> Column:
     """[(text, at)] for consecutive parts with `gap` characters between them."""
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    starts = F.aggregate(parts, begin, lambda a, p: F.struct((a["at"] + F.length(p) + gap).cast("int").alias("at"), F.concat(a["out"], F.array(a["at"].cast("int"))).alias("out")), lambda a: a["out"])
-    return F.zip_with(parts, starts, lambda p, s: F.struct(p.alias("text"), s.alias("at")))
+    return T.let(parts, lambda ps: F.zip_with(ps, T.running(F.transform(ps, lambda p: F.length(p) + gap)), lambda p, s: F.struct(p.alias("text"), s.alias("at"))))
 
 
 def _trimmed(part: Column, base: Column | int) -> Column:
@@ -73,22 +73,24 @@ def with_structure(docs: DataFrame, text: str = "text", title: str = "title") ->
     ends = F.concat(F.transform(F.slice("__h", 2, 1 << 30), lambda h: h["start"]), F.array(F.length(text)))
     df = df.withColumn("sections", F.transform(F.arrays_zip("__h", ends.alias("e")), lambda x, i: F.struct(F.concat(F.lit("s"), i.cast("string")).alias("id"), x["__h"]["start"].cast("int").alias("start"), x["e"].cast("int").alias("end"), x["__h"]["title"].alias("title"))))
     # fill forward: a paragraph's section is the number of headings before it
-    own = lambda b: F.size(F.filter("__h", lambda h: h["start"] < b["start"])) - F.when(b["start"] == 0, 0).otherwise(1)
-    plain = F.filter("__b", lambda b: ~b["head"])
+    before = T.running(F.transform("__b", lambda b: b["head"].cast("int")))
+    df = df.withColumn("__p", F.filter(F.zip_with("__b", before, lambda b, s: F.struct(s.alias("s"), b.alias("b"))), lambda x: ~x["b"]["head"]))
     df = df.withColumn(
         "paragraphs",
-        F.transform(
-            F.transform(plain, lambda b: F.struct(own(b).cast("int").alias("s"), b.alias("b"))),
-            lambda x, i: F.struct(F.concat(F.lit("p"), i.cast("string")).alias("id"), F.concat(F.lit("s"), x["s"].cast("string")).alias("section"), F.get("__h", x["s"])["title"].alias("section_path"), x["b"]["start"].cast("int").alias("start"), (x["b"]["start"] + F.length(x["b"]["text"])).cast("int").alias("end"), x["b"]["text"].alias("text")),
-        ),
+        F.transform("__p", lambda x, i: F.struct(F.concat(F.lit("p"), i.cast("string")).alias("id"), F.concat(F.lit("s"), x["s"].cast("string")).alias("section"), F.get("__h", x["s"])["title"].alias("section_path"), x["b"]["start"].cast("int").alias("start"), (x["b"]["start"] + F.length(x["b"]["text"])).cast("int").alias("end"), x["b"]["text"].alias("text"))),
     )
-    return df.drop("__b", "__h")
+    return df.drop("__b", "__h", "__p")
 
 
 def with_sentences(docs: DataFrame, strict: bool = False) -> DataFrame:
-    """docs (with paragraphs) with `sentences` (id, paragraph, start, end, text)."""
+    """docs (with paragraphs) with `sentences` (id, paragraph, start, end, text) and, in paragraphs,
+    first_sentence and n_sentences, the stretch of them that is the paragraph's."""
     nested = F.transform("paragraphs", lambda p: F.transform(split_sentences(p["text"], p["start"], strict), lambda s: F.struct(p["id"].alias("paragraph"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"))))
-    return docs.withColumn("sentences", F.transform(F.flatten(nested), lambda s, i: F.struct(F.concat(F.lit("t"), i.cast("string")).alias("id"), s["paragraph"].alias("paragraph"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"))))
+    df = docs.withColumn("__s", nested)
+    firsts = T.running(F.transform("__s", lambda s: F.size(s)))
+    own = F.zip_with("__s", firsts, lambda s, n: F.struct(n.alias("first"), F.size(s).alias("n")))
+    df = df.withColumn("paragraphs", F.zip_with("paragraphs", own, lambda p, x: p.withField("first_sentence", x["first"]).withField("n_sentences", x["n"])))
+    return df.withColumn("sentences", F.transform(F.flatten("__s"), lambda s, i: F.struct(F.concat(F.lit("t"), i.cast("string")).alias("id"), s["paragraph"].alias("paragraph"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text")))).drop("__s")
 
 
 def segment(docs: DataFrame, strict: bool = False) -> DataFrame:
