@@ -1,19 +1,24 @@
 """Substring dedup by hashing lines and the sentences in them.
 
-A unit is a line, or a part of it that ends after `.`, `!` or `?` (quotes and brackets may
-follow) before white space. Its digest, 128 bits, is taken of its words, A-Z lower-cased, so
-white space doesn't count. Digests are grouped over all documents; of each, the occurrence
-of the lowest (doc_id, unit) stays and the others are repeats. Repeats that follow one
-another form a passage; passages of `min_words` words or more are removed, by their offsets
-in the text as it was. Shorter ones (a stock line, "All rights reserved.") stay. Units of
-under TINY words, which meet by chance, go with a passage. They count for its length if
-they are repeated together with what follows them: from each, the fewest units that hold
-TINY words have a digest of their own, and a repeat of it counts all of them.
-
-Units without words aren't units. Null and empty texts have none and no row. Rows with one
-doc_id are one document, whose equal units are one occurrence; null doc_ids rank first and
-are one document. Ties can't be: (doc_id, unit) is an order. Extra columns are ignored by
-op3 and kept by dedup(). An empty table gives no rows.
+Lines. A line's digest, 128 bits, is taken of its words, A-Z lower-cased, so white space
+doesn't count. Digests are grouped over all documents; of each, the occurrence of the lowest
+(doc_id, row, place) stays and every other one is removed, by its offsets in the text as it
+was. `min_words` spares lines of fewer words; it is 1, which spares none.
+
+Sentences. A passage need not begin and end with a line, so the parts of lines that end after
+`.`, `!` or `?` (quotes and brackets may follow) before white space have digests too, in the
+same groups. Sentences that recur by themselves are no passage; repeats that follow one
+another are, if they have `passage_words` words or more together, and go like lines. Sentences
+of under TINY words, which meet by chance, count for that length only if they are repeated
+together with what follows them: from each, the fewest sentences that hold TINY words have a
+digest of their own, and a repeat of it counts all of them.
+
+Lines without words aren't units. Null and empty texts have none and no row. Every row is a
+document of its own, also those that repeat a doc_id or have none; null doc_ids rank first,
+rows of one doc_id by their place in the table. dedup() writes the rows down with their
+numbers first; repeats() reads its input twice and needs its rows in the same order each time,
+as a table has them. Extra columns are ignored by op3 and kept by dedup(), which adds
+`removed`, with underscores before it if there is such a column. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,118 +30,179 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, cut, mix, small_batches, table
+from .common import Words, column, cut, free, mix, pieces, table
 
-MIN_WORDS = 30
+#: Words from which on a repeated line goes: all do.
+MIN_WORDS = 1
+#: Words from which on repeated sentences that follow one another are a passage.
+PASSAGE_WORDS = 30
 TINY = 4
+#: Digests with more than this share of all repeats are joined by broadcast: 1 / HOT_SHARE at most.
+HOT_SHARE = 1e-4
 _POWERS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)]
-UNITS = "doc_id long, unit int, last int, start int, end int, words int, h1 long, h2 long"
+NAMES = ["unit", "last", "line", "start", "end", "words"]
+UNITS = "doc_id long, row long, " + ", ".join(f"{n} int" for n in NAMES) + ", h1 long, h2 long"
+
+
+def _digests(hashes: np.ndarray, begins: np.ndarray, size: np.ndarray) -> dict[str, np.ndarray]:
+    """h1, h2 of the stretches of `size` words from `begins` on."""
+    at = np.cumsum(size) - size
+    place = np.arange(size.sum()) - np.repeat(at, size)
+    words, out = hashes[np.repeat(begins, size) + place], []
+    for base in _POWERS:
+        powers = np.full(int(size.max()), base, np.uint64)
+        powers[0] = 1
+        out.append(mix(np.add.reduceat(words * np.cumprod(powers, dtype=np.uint64)[place], at) ^ size.astype(np.uint64)).view(np.int64))
+    return {"h1": out[0], "h2": out[1]}
 
 
 def units_of(col: pa.Array) -> dict[str, np.ndarray]:
-    """text (number of the text), unit, last (unit), start, end (characters), words, h1, h2."""
+    """text (its number), unit, last (sentences the unit begins and ends with), line (whether it
+    is a whole line), start, end (characters), words, h1, h2."""
     w = Words(col)
     n = len(w.hash)
     if not n:
-        return {k: np.zeros(0, np.int64) for k in ("text", "unit", "last", "start", "end", "words", "h1", "h2")}
+        return {k: np.zeros(0, np.int64) for k in ("text", *NAMES, "h1", "h2")}
     chars = np.concatenate([[0], np.cumsum((w.bytes & 0xC0) != 0x80)])
-    lines = np.concatenate([[0], np.cumsum(w.bytes == 10)])
+    breaks = np.concatenate([[0], np.cumsum(w.bytes == 10)])
     back = w.end - 1
     closers = np.isin(w.bytes, np.frombuffer(b"\"')]", np.uint8))
     for _ in range(3):
         back = np.where(closers[back] & (back > w.start), back - 1, back)
-    last = np.isin(w.bytes[back], np.frombuffer(b".!?", np.uint8))
-    last[:-1] |= lines[w.start[1:]] != lines[w.end[:-1]]
-    last[w.bounds[1:][w.bounds[1:] > w.bounds[:-1]] - 1] = True
-    ends = np.flatnonzero(last)
+    line_end = np.zeros(n, bool)
+    line_end[:-1] = breaks[w.start[1:]] != breaks[w.end[:-1]]
+    line_end[w.bounds[1:][w.bounds[1:] > w.bounds[:-1]] - 1] = True
+    ends = np.flatnonzero(np.isin(w.bytes[back], np.frombuffer(b".!?", np.uint8)) | line_end)
     begins = np.concatenate([[0], ends[:-1] + 1])
     size = ends - begins + 1
-    place = np.arange(n) - np.repeat(begins, size)
-    h = []
-    for base in _POWERS:
-        powers = np.full(int(size.max()), base, np.uint64)
-        powers[0] = 1
-        h.append(mix(np.add.reduceat(w.hash * np.cumprod(powers, dtype=np.uint64)[place], begins) ^ size.astype(np.uint64)))
     text = np.searchsorted(w.bounds, begins, side="right") - 1
-    first = np.searchsorted(text, np.arange(len(w.bounds) - 1))
-    origin = chars[w.at[text]]
-    unit = np.arange(len(ends)) - first[text]
-    out = {"text": text, "unit": unit, "last": unit, "start": chars[w.start[begins]] - origin, "end": chars[w.end[ends]] - origin, "words": size, "h1": h[0].view(np.int64), "h2": h[1].view(np.int64)}
-    # tiny units with what follows them, from u to v
+    unit = np.arange(len(ends)) - np.searchsorted(text, np.arange(len(w.bounds) - 1))[text]
+    closes = line_end[ends]  # the sentence is a line's last one
+    opens = np.concatenate([[True], closes[:-1]])
+    line_first = np.flatnonzero(opens)
+    line_last = np.flatnonzero(closes)
+
+    def rows(u: np.ndarray, v: np.ndarray, line: np.ndarray) -> dict[str, np.ndarray]:
+        if not len(u):
+            return {}
+        long, origin = ends[v] - begins[u] + 1, chars[w.at[text[u]]]
+        return {"text": text[u], "unit": unit[u], "last": unit[v], "line": line.astype(np.int64), "start": chars[w.start[begins[u]]] - origin, "end": chars[w.end[ends[v]]] - origin, "words": long, **_digests(w.hash, begins[u], long)}
+
+    every = np.arange(len(ends))
+    parts = [rows(every, every, opens & closes)]
+    several = line_last > line_first  # lines of one sentence are that sentence
+    parts.append(rows(line_first[several], line_last[several], np.ones(int(several.sum()), bool)))
     u = np.flatnonzero(size < TINY)
     v = np.searchsorted(ends, begins[u] + TINY - 1)
     inside = v < len(ends)
     u, v = u[inside], v[inside]
     u, v = u[text[u] == text[v]], v[text[u] == text[v]]
-    if not len(u):
-        return out
-    long = ends[v] - begins[u] + 1
-    at = np.concatenate([[0], np.cumsum(long)[:-1]])
-    place = np.arange(long.sum()) - np.repeat(at, long)
-    h = []
-    for base in _POWERS:
-        powers = np.full(int(long.max()), base, np.uint64)
-        powers[0] = 1
-        h.append(mix(np.add.reduceat(w.hash[np.repeat(begins[u], long) + place] * np.cumprod(powers, dtype=np.uint64)[place], at) ^ long.astype(np.uint64)))
-    more = {"text": text[u], "unit": unit[u], "last": unit[v], "start": out["start"][u], "end": out["end"][v], "words": long, "h1": h[0].view(np.int64), "h2": h[1].view(np.int64)}
-    return {k: np.concatenate([out[k], more[k]]) for k in out}
+    parts.append(rows(u, v, np.zeros(len(u), bool)))
+    parts = [p for p in parts if p]
+    return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+
 
+def _units(rows: DataFrame) -> DataFrame:
+    """The units of rows (doc_id, row, text)."""
 
-def _units(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            u = units_of(b.column(1))
-            cols = [b.column(0).take(pa.array(u["text"]))]
-            cols += [pa.array(u[k].astype(np.int32)) for k in ("unit", "last", "start", "end", "words")] + [pa.array(u[k]) for k in ("h1", "h2")]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "unit", "last", "start", "end", "words", "h1", "h2"])
+        for b in pieces(batches):
+            u = units_of(b.column(2))
+            at = pa.array(u["text"])
+            cols = [b.column(0).take(at), b.column(1).take(at)]
+            cols += [pa.array(u[k].astype(np.int32)) for k in NAMES] + [pa.array(u[k]) for k in ("h1", "h2")]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "row", *NAMES, "h1", "h2"])
 
-    small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, UNITS)
+    return rows.mapInArrow(run, UNITS)
 
 
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Passages to remove: doc_id, start, end, n_words, n_units, first_doc_ids.
+def _later(units: DataFrame) -> DataFrame:
+    """The units that occurred before, with `origin`, the doc_id of the first occurrence.
 
-    first_doc_ids: the documents in which the passage's units stay, sorted.
+    Units meet their digest's first occurrence by shuffle; those of digests with more than
+    HOT_SHARE of all repeats, of which there can't be many, by broadcast instead, so no task
+    gets them all.
     """
-    units = _units(docs)
-    place = F.struct("doc_id", "unit")
-    known = units.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
-    # by shuffle at any size: the repeated digests grow with the corpus
-    found = units.join(cut(known), ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
-    per_doc = found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("unit", "last", "start", "end", "words", F.col("first.doc_id").alias("origin")))).alias("units"))
+    place = F.struct("doc_id", "row", "unit")
+    known = units.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"))
+    known = cut(known.where("first <> last").drop("last"))
+    total = known.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") > F.lit(max(1000, int(total * HOT_SHARE)))
+    few = F.broadcast(known.where(hot).select("h1", "h2", F.col("first").alias("hot_first")))
+    marked = units.join(few, ["h1", "h2"], "left")
+    spread = F.col("hot_first").isNotNull()  # under a key that no digest has, dealt out evenly
+    marked = marked.withColumn("k1", F.when(spread, F.xxhash64("row", "unit", "last")).otherwise(F.col("h1"))).withColumn("k2", F.when(~spread, F.col("h2")))
+    rest = known.where(~hot).select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "first")
+    found = marked.join(rest, ["k1", "k2"], "left").withColumn("first", F.coalesce("hot_first", "first"))
+    return found.where("first is not null").where(~place.eqNullSafe(F.col("first"))).select("doc_id", "row", *NAMES, F.col("first.doc_id").alias("origin"))
+
+
+def passages(units: list[dict], min_words: int, passage_words: int) -> list[list[dict]]:
+    """Of a text's repeated units, the runs of sentences to remove."""
+    inside = lambda u: range(u["unit"], u["last"] + 1)
+    one = sorted((u for u in units if u["last"] == u["unit"]), key=lambda u: u["unit"])
+    counted = {n for u in units if u["last"] > u["unit"] for n in inside(u)}
+    gone = {n for u in units if u["line"] and u["words"] >= min_words for n in inside(u)}
+    runs: list[list[dict]] = []
+    for u in one:
+        if runs and runs[-1][-1]["unit"] + 1 == u["unit"]:
+            runs[-1].append(u)
+        else:
+            runs.append([u])
+    for run in runs:
+        if sum(u["words"] for u in run if u["words"] >= TINY or u["unit"] in counted) >= passage_words:
+            gone.update(u["unit"] for u in run)
+    out: list[list[dict]] = []
+    for u in (u for u in one if u["unit"] in gone):
+        if out and out[-1][-1]["unit"] + 1 == u["unit"]:
+            out[-1].append(u)
+        else:
+            out.append([u])
+    return out
+
+
+def _repeats(rows: DataFrame, min_words: int, passage_words: int) -> DataFrame:
+    """repeats() of rows (doc_id, row, text), with `row`."""
+    item = F.struct("unit", "last", "line", "start", "end", "words", "origin")
+    per_row = _later(_units(rows)).groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.collect_list(item).alias("units"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             out = []
-            for doc, us in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                held: list[dict] = []
-                counted = {n for u in us if u["last"] > u["unit"] for n in range(u["unit"], u["last"] + 1)}
-                for u in [*(u for u in us if u["last"] == u["unit"]), None]:
-                    if held and (u is None or u["unit"] != held[-1]["unit"] + 1):
-                        if sum(x["words"] for x in held if x["words"] >= TINY or x["unit"] in counted) >= min_words:
-                            n = sum(x["words"] for x in held)
-                            out.append({"doc_id": doc, "start": held[0]["start"], "end": held[-1]["end"], "n_words": n, "n_units": len(held), "first_doc_ids": sorted({x["origin"] for x in held}, key=lambda x: (x is not None, x))})
-                        held = []
-                    if u:
-                        held.append(u)
+            for row, doc, us in zip(*(b.column(k).to_pylist() for k in ("row", "doc_id", "units")), strict=True):
+                for held in passages(us, min_words, passage_words):
+                    out.append({"row": row, "doc_id": doc, "start": held[0]["start"], "end": held[-1]["end"], "n_words": sum(x["words"] for x in held), "n_units": len(held), "first_doc_ids": sorted({x["origin"] for x in held}, key=lambda x: (x is not None, x))})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("n_words", pa.int64()), ("n_units", pa.int64()), ("first_doc_ids", pa.list_(pa.int64()))])
-    return per_doc.mapInArrow(run, "doc_id long, start long, end long, n_words long, n_units long, first_doc_ids array<long>")
-
-
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with `text` without its removed passages, and `removed`, their (start, end) in the old text."""
-    spans = repeats(docs, min_words).groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
-    out = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left").drop("__id")
-    cutting = F.aggregate(
-        "removed",
-        F.struct(F.lit("").alias("t"), F.lit(0).cast("long").alias("at")),
-        lambda a, x: F.struct(F.concat(a["t"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), (x["start"] - a["at"]).cast("int"))).alias("t"), x["end"].cast("long").alias("at")),
-        lambda a: F.concat(a["t"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.length("text"))),
-    )
-    return out.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(cutting))
+    longs = ["row", "doc_id", "start", "end", "n_words", "n_units"]
+    schema = pa.schema([*((n, pa.int64()) for n in longs), ("first_doc_ids", pa.list_(pa.int64()))])
+    return per_row.select("row", "doc_id", "units").mapInArrow(run, ", ".join(f"{n} long" for n in longs) + ", first_doc_ids array<long>")
+
+
+def _numbered(docs: DataFrame, row: str | None = None) -> DataFrame:
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), number.alias("row"), F.col("text").cast("string").alias("text"))
+
+
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS, passage_words: int = PASSAGE_WORDS) -> DataFrame:
+    """What is to be removed: doc_id, start, end, n_words, n_units, first_doc_ids.
+
+    n_units: sentences. first_doc_ids: the documents in which they stay, sorted.
+    """
+    return _repeats(_numbered(docs), min_words, passage_words).drop("row")
+
+
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS, passage_words: int = PASSAGE_WORDS) -> DataFrame:
+    """docs with `text` without what repeats, and `removed`, its (start, end) in the old text."""
+    row, removed = free("__row", docs), free("removed", docs)
+    whole = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    spans = _repeats(_numbered(whole, row), min_words, passage_words).groupBy(F.col("row").alias(row)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(removed))
+    out = whole.join(spans, row, "left")
+    text = F.col("text").cast("string")
+    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform(removed, lambda x: x["end"]))
+    ends = F.concat(F.transform(removed, lambda x: x["start"]), F.array(F.length(text).cast("long")))
+    kept = F.array_join(F.zip_with(starts, ends, lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int"))), "")
+    return out.withColumn("text", F.when(F.col(removed).isNull(), text).otherwise(kept)).select(*map(column, docs.columns), removed)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
