@@ -4,7 +4,8 @@ Targets: sources in code point order (null last) have the weights given, repeati
 share `budget` times all words; a source gets at most `cap` times its own words, and what is
 beyond is shared again by weight (water filling, in closed form over the sorted ratios).
 
-Each source's documents are dealt by hash into at most BLOCKS blocks. A source is taken
+Each source's documents are dealt by hash into at most BLOCKS blocks (rows that repeat one
+another more than BLOCK_DOCS times, by a hash of their place too, so no block is all copies). A source is taken
 floor(target / words) times whole, and once more in part: its blocks in permuted order until
 the rest of the target is met. The block at the edge is dealt into finer blocks in the same
 way, and of the last one documents are taken largest first while they fit.
@@ -16,9 +17,11 @@ takes the next blocks of each source's permutation, disjoint from all others, an
 rows by hash. All randomness is a hash of the seed, so reruns agree.
 
 A document counts its runs of other than ASCII white space; null and empty texts have size
-0 and are taken with no words. Null sources are one source. Equal rows are separate rows;
-ties of the hash are broken by doc_id and row. An empty table gives no rows. Extra columns
-are kept by mix() and ignored by op6.
+0 and are taken with no words. Null sources are one source. Equal rows are separate rows:
+every row has a number of its own, which mix() writes down with the rows before anything is
+drawn, so repeated, null-shifted or map-valued columns can't confuse two of them. An empty
+table gives no rows. mix() keeps all columns and adds `mix_shard` and `mix_order`, with
+underscores before these names if the table has such columns; op6 ignores extra columns.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, cut, hinted, table
+from .common import WORD, column, cut, free, hinted, table
 
 WEIGHTS = (5, 2, 1)
 BUDGET, CAP = 1.5, 2
@@ -118,24 +121,24 @@ def _deal(rows: DataFrame, level: int) -> DataFrame:
     return rows.join(hinted(stats, SMALL_ROWS), ["sidx", "block"])
 
 
-def _key(docs: DataFrame) -> Column:
-    return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
-
-
-def draws(docs: DataFrame, shards: int = OUT_SHARDS, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, cap: float = CAP) -> DataFrame:
+def draws(docs: DataFrame, shards: int = OUT_SHARDS, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, cap: float = CAP, row: str | None = None) -> DataFrame:
     """Per row: doc_id, size, source_size, target, and copies, the shards it goes to, one for each time it is taken.
 
-    `row` tells rows apart; `key` is the hash of all columns of the row, for the way back.
+    `row` tells rows apart: the column of that name, else a number made here.
     """
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key(docs).alias("key"), F.col("source").cast("string").alias("source"), n_words().alias("size"), F.monotonically_increasing_id().alias("row"))
-    narrow = cut(narrow.withColumn("hash", F.xxhash64(F.lit(SEED), "doc_id", "source", "size")))
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    text = F.col("text").cast("string")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words().alias("size"), number.alias("row"), F.xxhash64(text).alias("h"))
+    narrow = cut(narrow.withColumn("hash", F.xxhash64(F.lit(SEED), "doc_id", "source", "size", "h")).drop("h"))
+    many = cut(narrow.groupBy("hash").count().where(F.col("count") > BLOCK_DOCS).select("hash", F.lit(True).alias("many")))
+    narrow = narrow.join(hinted(many, SMALL_ROWS), "hash", "left").withColumn("hash", F.when(F.col("many"), F.xxhash64("hash", "row")).otherwise(F.col("hash"))).drop("many")
     sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     plan = targets(cut(sizes), weights, budget, cap)
     times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0).cast("int")
     plan = cut(plan.withColumn("times", times).withColumn("need", F.col("target") - F.col("times") * F.col("source_size")))
 
     rows = narrow.join(hinted(plan.withColumnRenamed("source", "of"), SMALL_ROWS), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    coarse = cut(_deal(rows, 0).select("row", "doc_id", "key", "sidx", "size", "hash", "source_size", "target", "times", "blocks", "block", "rank", "drawn", "left", "in_block"))
+    coarse = cut(_deal(rows, 0).select("row", "doc_id", "sidx", "size", "hash", "source_size", "target", "times", "blocks", "block", "rank", "drawn", "left", "in_block"))
     edge = coarse.where("drawn is null").select("row", "sidx", "size", "hash", F.col("left").alias("need"), F.col("in_block").alias("docs"))
     fine = cut(_deal(edge, 1).select("row", "sidx", "size", "hash", "drawn", "left"))
     # of the finest block, largest first while they fit; a block has some BLOCK_DOCS rows
@@ -153,7 +156,7 @@ def draws(docs: DataFrame, shards: int = OUT_SHARDS, weights: tuple[int, ...] =
     shard_of = lambda unit: F.size(F.filter("upto", lambda u: u <= unit)).cast("int")
     n = F.col("times") + again
     copies = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda e: shard_of(e * F.col("has") + F.col("rank")))).otherwise(F.array().cast("array<int>"))
-    return out.select("row", "doc_id", "key", "size", "source_size", "target", copies.alias("copies"))
+    return out.select("row", "doc_id", "size", "source_size", "target", copies.alias("copies"))
 
 
 def mix(docs: DataFrame, shards: int = OUT_SHARDS, **how) -> DataFrame:
@@ -161,15 +164,11 @@ def mix(docs: DataFrame, shards: int = OUT_SHARDS, **how) -> DataFrame:
 
     Within a shard the order by mix_order is the local shuffle.
     """
-    rows = cut(draws(docs, shards, **how).select("key", "row", "copies"))
-    taken = rows.select("key", F.col("row").alias("__row"), F.explode("copies").alias("mix_shard"))
-    taken = taken.withColumn("mix_order", F.xxhash64(F.lit(SEED), "mix_shard", "__row")).drop("__row")
-    texts = docs.withColumn("key", _key(docs)) if "key" not in docs.columns else None
-    if texts is None:
-        raise ValueError("docs has a column named key")
-    if rows.groupBy("key").count().where("count > 1").limit(1).count():
-        texts = texts.dropDuplicates(["key"])  # equal rows: one stands for all, their copies add up
-    return texts.join(cut(taken), "key").drop("key")
+    row, shard, order = free("__row", docs), free("mix_shard", docs), free("mix_order", docs)
+    whole = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    taken = draws(whole, shards, **how, row=row).select(F.col("row").alias(row), F.explode("copies").alias(shard))
+    taken = cut(taken.withColumn(order, F.xxhash64(F.lit(SEED), shard, row)))
+    return whole.join(taken, row).select(*map(column, docs.columns), shard, order)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
