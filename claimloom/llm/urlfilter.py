@@ -5,8 +5,12 @@ hexadecimal strings, file names with a number) become wildcards first. Then, lev
 from the host down, the segments that follow a common prefix are compared: a segment stays
 literal only if it has `support` pages (else it varies, and joins the wildcard `*`) and if
 its labelled pages are bad at another rate than those of its siblings (two-proportion test
-at `z`; branches that do not differ merge into `*`). Levels follow one another until no
-prefix has `support` pages with a further segment; what is deeper is `*` throughout.
+at `z`; branches that do not differ merge into `*`). Literals that behave alike are merged in
+their turn: in the order of their rates, a literal joins those before it as long as it doesn't
+differ from them together, so like is merged with like first; `{a|+2}` is a and two others.
+For that, literals are pooled by rate into RATES classes, so a parent of any number of
+literals is a short list. Levels follow one another until no prefix has `support` pages with
+a further segment; what is deeper is `*` throughout.
 
 What remains are the host's templates. A template's purity is its share of bad labels,
 smoothed towards the host's rate, itself smoothed towards the rate of all; templates of a
@@ -41,6 +45,8 @@ RULES = (
 SUPPORT, Z = 20, 2.6
 REJECT, PRIOR = 0.6, 10.0
 SMALL_ROWS = 100_000
+#: Classes of rates in which literals are compared with each other.
+RATES = 1000
 
 
 def host_of(url: str = "url") -> Column:
@@ -77,6 +83,35 @@ def _bad(labels: DataFrame) -> DataFrame:
     return known.groupBy("page").agg(F.count("*").alias("lab"), F.sum("bad").alias("bad"))
 
 
+def _differ(bad: Column, lab: Column, bad2: Column, lab2: Column, z: float) -> Column:
+    """Whether two shares of bad labels differ; no labels differ from nothing."""
+    pooled = F.try_divide(bad + bad2, lab + lab2)
+    spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), lab) + F.try_divide(F.lit(1.0), lab2)))
+    return F.coalesce(F.abs(F.try_divide(bad, lab) - F.try_divide(bad2, lab2)) > F.lit(z) * spread, F.lit(False))
+
+
+def _alike(literal: DataFrame, z: float) -> DataFrame:
+    """(host, template, seg, name): literals (with lab, bad) under the name they share with those alike."""
+    rate = F.coalesce(F.floor(F.try_divide(F.col("bad"), F.col("lab")) * RATES).cast("int"), F.lit(-1))
+    rated = literal.withColumn("rate", rate)
+    pooled = rated.groupBy("host", "template", "rate").agg(F.sum("lab").alias("lab"), F.sum("bad").alias("bad"), F.min("seg").alias("seg"), F.count("*").alias("n"))
+    per = pooled.groupBy("host", "template").agg(F.array_sort(F.collect_list(F.struct("rate", "lab", "bad", "seg", "n"))).alias("xs"))
+    kind = "struct<lab:bigint,bad:bigint,seg:string,n:bigint,rates:array<int>>"
+    begin = F.array().cast(f"array<{kind}>")
+    run = lambda lab, bad, seg, n, rates: F.struct(lab.alias("lab"), bad.alias("bad"), seg.alias("seg"), n.alias("n"), rates.alias("rates"))
+
+    def step(a: Column, x: Column) -> Column:
+        last = F.get(a, F.size(a) - 1)
+        joins = (F.size(a) > 0) & (x["rate"] >= 0) & F.coalesce(~_differ(last["bad"], last["lab"], x["bad"], x["lab"], z) & (last["lab"] > 0), F.lit(False))
+        more = run(last["lab"] + x["lab"], last["bad"] + x["bad"], F.least(last["seg"], x["seg"]), last["n"] + x["n"], F.concat(last["rates"], F.array(x["rate"])))
+        return F.when(joins, F.concat(F.slice(a, 1, F.size(a) - 1), F.array(more))).otherwise(F.concat(a, F.array(run(x["lab"], x["bad"], x["seg"], x["n"], F.array(x["rate"])))))
+
+    runs = per.select("host", "template", F.explode(F.aggregate("xs", begin, step)).alias("g"))
+    name = F.when(F.col("g.n") == 1, F.col("g.seg")).otherwise(F.concat(F.lit("{"), F.col("g.seg"), F.lit("|+"), (F.col("g.n") - 1).cast("string"), F.lit("}")))
+    named = runs.select("host", "template", name.alias("name"), F.explode("g.rates").alias("rate"))
+    return rated.join(named, ["host", "template", "rate"]).select("host", "template", "seg", "name")
+
+
 def grow(paths: DataFrame, support: int = SUPPORT, z: float = Z) -> DataFrame:
     """(host, form, n, lab, bad, template) for paths (host, form, n, lab, bad); form: array of segments."""
     at = cut(paths.withColumn("template", F.array().cast("array<string>")))
@@ -88,15 +123,12 @@ def grow(paths: DataFrame, support: int = SUPPORT, z: float = Z) -> DataFrame:
         parent = open_.groupBy("host", "template").agg(*[F.sum(c).alias(f"all_{c}") for c in ("n", "lab", "bad")]).where(F.col("all_n") >= support)
         if not parent.limit(1).count():
             break
-        rest_lab, rest_bad = F.col("all_lab") - F.col("lab"), F.col("all_bad") - F.col("bad")
-        pooled = F.try_divide(F.col("all_bad"), F.col("all_lab"))
-        spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), F.col("lab")) + F.try_divide(F.lit(1.0), rest_lab)))
-        differs = F.abs(F.try_divide(F.col("bad"), F.col("lab")) - F.try_divide(rest_bad, rest_lab)) > F.lit(z) * spread
-        alone = F.col("n") == F.col("all_n")
-        stays = (F.col("n") >= support) & (alone | F.coalesce(differs, F.lit(False)))
-        literal = cut(open_.join(parent, ["host", "template"]).where(stays).select("host", "template", "seg", F.lit(True).alias("literal")))
-        down = at.withColumn("seg", seg).join(hinted(literal, SMALL_ROWS), ["host", "template", "seg"], "left")
-        step = F.concat("template", F.array(F.when(F.col("literal"), F.col("seg")).otherwise(F.lit("*"))))
+        differs = _differ(F.col("bad"), F.col("lab"), F.col("all_bad") - F.col("bad"), F.col("all_lab") - F.col("lab"), z)
+        stays = (F.col("n") >= support) & ((F.col("n") == F.col("all_n")) | differs)
+        literal = cut(open_.join(parent, ["host", "template"]).where(stays).select("host", "template", "seg", "lab", "bad"))
+        named = cut(_alike(literal, z))
+        down = at.withColumn("seg", seg).join(hinted(named, SMALL_ROWS), ["host", "template", "seg"], "left")
+        step = F.concat("template", F.array(F.coalesce("name", F.lit("*"))))
         at = cut(down.select("host", "form", "n", "lab", "bad", step.alias("template")))
         level += 1
     rest = F.array_repeat(F.lit("*"), F.size("form") - level)
