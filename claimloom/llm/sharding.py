@@ -6,14 +6,16 @@ slot its shard: largest slot first, always to the lightest shard. Rebalancing ed
 and moves whole slots; the law is therefore `bytes` (sizes near equal).
 
 A text whose copies hold more than 1 / (SPLIT * shards) of all bytes would weigh a slot
-down; its rows are hashed by id too and spread over all slots. There are SPLIT * shards such
-texts at most, which bounds that broadcast; the map has `slots` rows, which bounds the other.
+down; its rows are hashed by id too and spread over all slots: for these texts alone, near
+equal bytes go before equal texts staying together, and op2 says so in the column `spread`.
+There are SPLIT * shards such texts at most, which bounds that broadcast; the map has `slots`
+rows, which bounds the other.
 
 Null texts have no bytes, a null text_crc32 and are one group; empty texts are another. Ties
 in the order within a slot are broken by doc_id, size and hash; rows that agree in all of
 these are equal and any order of them is the same. An empty table has no rows and a map with
-empty slots. Columns other than doc_id and text are passed through by assign() and ignored
-by op2; internal columns have names that no table has (`__...`).
+empty slots. assign() passes all columns through and adds `slot` and `shard`, with underscores
+before these names if the table has such columns; op2 ignores columns but doc_id and text.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, table
+from .common import column, cut, free, table
 
 SHARDS = 24
 SLOTS = 4096
@@ -59,7 +61,7 @@ def _slot(slots: int, h: str = "h", size: str = "size", doc_id: str = "doc_id",
 
 def with_slots(narrow: DataFrame, hot: DataFrame, slots: int) -> DataFrame:
     # at most SPLIT * shards rows
-    return narrow.join(F.broadcast(hot), ["h", "size"], "left").withColumn("vslot", _slot(slots)).drop("hot")
+    return narrow.join(F.broadcast(hot), ["h", "size"], "left").withColumn("vslot", _slot(slots)).withColumn("hot", F.coalesce("hot", F.lit(False)))
 
 
 def slot_stats(slotted: DataFrame, slots: int) -> DataFrame:
@@ -134,12 +136,12 @@ def assign(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFra
     """docs with columns slot (virtual) and shard; the texts aren't shuffled."""
     _, hot, slot_map = plan(docs, shards, slots)
     text = F.col("text").cast("string")
-    rows = docs.withColumns({"__h": F.xxhash64(text), "__size": record_bytes(), "__id": F.col("doc_id").cast("long")})
-    rows = rows.join(F.broadcast(hot.toDF("__h", "__size", "__hot")), ["__h", "__size"], "left")
-    rows = rows.withColumn("__slot", _slot(slots, "__h", "__size", "__id", "__hot"))
-    places = slot_map.select(F.col("slot").alias("__slot"), F.col("shard").alias("__shard"))  # `slots` rows
-    out = rows.join(F.broadcast(places), "__slot").select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("slot", "shard")], F.col("__slot").alias("slot"), F.col("__shard").alias("shard"))
-    return out
+    h, size, id_, is_hot, slot, shard = (free(f"__{c}", docs) for c in ("h", "size", "id", "hot", "slot", "shard"))
+    rows = docs.withColumns({h: F.xxhash64(text), size: record_bytes(), id_: F.col("doc_id").cast("long")})
+    rows = rows.join(F.broadcast(hot.toDF(h, size, is_hot)), [h, size], "left")
+    rows = rows.withColumn(slot, _slot(slots, h, size, id_, is_hot))
+    places = slot_map.select(F.col("slot").alias(slot), F.col("shard").alias(shard))  # `slots` rows
+    return rows.join(F.broadcast(places), slot).select(*map(column, docs.columns), F.col(slot).alias(free("slot", docs)), F.col(shard).alias(free("shard", docs)))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,5 +152,5 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         slotted.withColumn("within", within)
         .join(F.broadcast(places), "vslot")  # `slots` rows
-        .select("doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("within")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("vslot").alias("virtual_slot"))
+        .select("doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("within")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("vslot").alias("virtual_slot"), F.col("hot").alias("spread"))
     )

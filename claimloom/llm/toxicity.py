@@ -7,12 +7,15 @@ places that matter; it is sent to the executors as two short arrays.
 
 The classifier is fitted on labelled rows only, at most `max_train` of them, taken in the
 order of a hash of doc_id, classes apart (half of the bound each), so the bound never
-starves a class. Everything else covers every row: all texts are read whole and scored.
+starves a class; of these, in the same order, those whose features fill `max_places` places
+at most, which bounds the memory of the fit for texts of any length. Everything else covers
+every row: all texts are read whole and scored.
 
 Null and empty texts have the bias as their only feature and still get a score; rows with a
 null label, and labels of unknown documents, train nothing. With no labelled rows of both
 classes the score is 0 for every row. Ties in the training order are broken by doc_id;
-repeated rows are scored each. Extra columns are ignored.
+repeated rows are scored each. Other columns are kept by score() and clean() and ignored by
+op7; score() adds `score`, with underscores before it if the table has such a column.
 """
 
 from __future__ import annotations
@@ -23,12 +26,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import Words, mix, small_batches, table
+from .common import Words, column, free, mix, pieces, table
 
 BITS = 21
 #: Labelled rows the fit takes at most.
 MAX_TRAIN = 16_000
+#: Features of these rows that the fit holds at most, 4 bytes each.
+MAX_PLACES = 64 << 20
 THRESHOLD = 0.7
 #: Chosen on a split within the training rows, never on held-out ones.
 ALPHA, BETA, L1, L2, EPOCHS = 3.0, 1.0, 3.0, 0.5, 5
@@ -58,18 +64,22 @@ def held_out(doc_id: str) -> F.Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, bits: int = BITS, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, bits: int = BITS, epochs: int = EPOCHS, max_places: int = MAX_PLACES) -> tuple[np.ndarray, np.ndarray]:
     """(places, weights) of the fitted model, the bias at place -1."""
-    small_batches(docs.sparkSession)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             words = Words(b.column(1))
             x = [features(words.hash[lo:hi], bits).astype("<i4").tobytes() for lo, hi in zip(words.bounds[:-1], words.bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x, pa.binary())], names=["doc_id", "toxic", "x"])
 
     def learn(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(np.frombuffer(x, "<i4"), y) for b in parts for x, y in zip(b.column("x").to_pylist(), b.column("toxic").to_pylist(), strict=True)]
+        rows, held = [], 0
+        for b in parts:
+            for x, y in zip(b.column("x"), b.column("toxic").to_pylist(), strict=True):
+                if held <= max_places:
+                    rows.append((np.frombuffer(x.as_py(), "<i4"), y))
+                    held += len(rows[-1][0])
         at, w = ftrl(rows, bits, epochs)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(w, pa.float64())], names=["at", "w"])
 
@@ -113,33 +123,34 @@ def ftrl(rows: list[tuple[np.ndarray, int]], bits: int, epochs: int) -> tuple[np
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = BITS) -> DataFrame:
     """docs with a column score; whole texts, no shuffle."""
-    small_batches(docs.sparkSession)
+    return _scored(docs, model, free("score", docs), bits)
+
+
+def _scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], name: str, bits: int = BITS) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    at, known = docs.columns.index("text"), "score" in docs.columns
-    if known:
-        raise ValueError("docs has a column score already")
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, weights = sent.value
         dense = np.zeros((1 << bits) + 1)
         dense[places] = weights  # -1 is the last
         bias = dense[-1]
-        for b in batches:
+        for b in pieces(batches):
             words = Words(b.column(at))
             if len(places):
                 total = [bias + dense[features(words.hash[lo:hi], bits)].sum() if hi > lo else bias for lo, hi in zip(words.bounds[:-1], words.bounds[1:], strict=True)]
                 p = 1.0 / (1.0 + np.exp(-np.clip(np.array(total, dtype=float), -35, 35)))
             else:
                 p = np.zeros(b.num_rows)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], names=[*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], names=[*b.schema.names, name])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, `score` double")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_train: int = MAX_TRAIN) -> DataFrame:
     """The rows of docs that the classifier does not reject (score below the threshold)."""
-    return score(docs, fit(docs, labels, max_train)).where(F.col("score") < threshold).drop("score")
+    name = free("__score", docs)
+    return _scored(docs, fit(docs, labels, max_train), name).where(F.col(name) < threshold).select(*map(column, docs.columns))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
