@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, small_batches, table
+from .common import cut, pieces, table
 
 BEGIN, END = "<|im_start|>", "<|im_end|>"
 
@@ -93,7 +93,6 @@ def branches(messages: DataFrame, top: int | None = None) -> DataFrame:
 
 def format_trees(messages: DataFrame, top: int | None = None) -> DataFrame:
     """(tree, leaf, rank, formatted, loss) for messages (tree, id, parent, role, text, score)."""
-    small_batches(messages.sparkSession)
     said = messages.select("tree", "id", "parent", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("score").cast("double").alias("score"))
     key = F.coalesce(F.concat(F.lit("t"), F.col("tree").cast("string")), F.lit("-"))  # null trees are one tree
     one = said.withColumn("key", key).groupBy("key", "id").agg(F.min(F.struct("role", "text", "tree", "parent", "score")).alias("m")).select("key", "id", "m.*")
@@ -104,7 +103,7 @@ def format_trees(messages: DataFrame, top: int | None = None) -> DataFrame:
     chosen = turns.groupBy("key", "leaf").agg(F.first("tree").alias("tree"), F.first("rank").alias("rank"), F.array_sort(F.collect_list(order)).alias("turns")).select("tree", "leaf", "rank", "turns")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             made = [render([(t["role"], t["text"]) for t in turns]) for turns in b.column(3).to_pylist()]
             loss = [[{"start": x, "end": y} for x, y in mask] for _, mask in made]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([f for f, _ in made], pa.string()), pa.array(loss, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=["tree", "leaf", "rank", "formatted", "loss"])
@@ -125,7 +124,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for b in batches:
+        for b in pieces(batches):
             texts, masks = b.column(1).to_pylist(), b.column(2).to_pylist()
             turns = [parse(t) for t in texts]
             loss = ["".join(unescape(t[m["start"] : m["end"]]) for m in mask) for t, mask in zip(texts, masks, strict=True)]

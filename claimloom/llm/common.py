@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import gc
-import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cuts import cut
+
 #: Words of the shingle operators: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows per Arrow batch; keeps one batch of long texts within a worker's memory.
-ARROW_ROWS = 1000
+#: Rows and bytes that a Python worker handles at a time; a longer text is handled alone.
+PIECE_ROWS, PIECE_BYTES = 1000, 8 << 20
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -22,22 +24,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of ARROW_ROWS rows at most, for texts of any length."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df from a reliable checkpoint in the folder that spark.checkpoint.dir names.
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = PIECE_ROWS, size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of `rows` rows and, but for single rows, `size` bytes at most.
 
-    A folder of our own is set only where the session has none (tests, one machine).
+    Spark bounds batches itself (spark.sql.execution.arrow.maxBytesPerBatch), but what is made
+    of a text is many times its size.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="cut-"))
-    return df.checkpoint()
+    for batch in batches:
+        waiting = [batch]
+        while waiting:
+            b = waiting.pop()
+            if b.num_rows > rows or (b.num_rows > 1 and b.nbytes > size):
+                half = b.num_rows // 2
+                waiting += [b.slice(half), b.slice(0, half)]
+            elif b.num_rows:
+                yield b
+
+
+def free(name: str, *frames: DataFrame) -> str:
+    """name, with underscores before it until no column of the frames has it in any case."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def column(name: str) -> Column:
+    """A column by its whole name, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def release(spark: SparkSession) -> None:

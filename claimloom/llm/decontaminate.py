@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, small_batches, table
+from .common import Words, pieces, table
 
 WINDOW = 10
 BLOCK_BYTES = 64 << 20
@@ -119,7 +119,6 @@ def _doc_text(docs: DataFrame) -> DataFrame:
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document row: doc_id, n_words, n_hit, n_items, items (sorted id strings), items_sha256, contaminated."""
     spark = docs.sparkSession
-    small_batches(spark)
     suites = list(_suites(benchmark, window, block_bytes))
     if len(suites) == 1:
         return _scan(_doc_text(docs), suites[0])
@@ -154,7 +153,7 @@ def _scan(docs: DataFrame, suite: Suite) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(suite)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             words = Words(b.column(1), alnum=True)
             n, hits, items, _ = _per_text(words, sent.value)
             yield _row_batch(b.column(0), n, hits, [items.get(i, set()) for i in range(b.num_rows)])
@@ -167,7 +166,7 @@ def _scan_blocks(docs: DataFrame, suites: list[Suite]) -> DataFrame:
     sent = [docs.sparkSession.sparkContext.broadcast(s) for s in suites]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             words = Words(b.column(1), alnum=True)
             found: list[set[str]] = [set() for _ in range(b.num_rows)]
             marks = np.zeros(len(words.hash) + 1, np.int64)
@@ -189,11 +188,10 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     item_word and doc_word are 0-based word numbers, start and end character offsets in the
     text. A match is given once, from its first word on, extended as far as both sides agree.
     """
-    small_batches(docs.sparkSession)
     sent = [docs.sparkSession.sparkContext.broadcast(s) for s in _suites(benchmark, window, block_bytes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             words, out = Words(b.column(1), alnum=True), []
             ids, raw = b.column(0).to_pylist(), words.bytes.tobytes()
             for s in (x.value for x in sent):
@@ -220,13 +218,12 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs without a verbatim window of the benchmark, all columns as they are."""
-    small_batches(docs.sparkSession)
     suites = list(_suites(benchmark, window, BLOCK_BYTES))
     sent = [docs.sparkSession.sparkContext.broadcast(s) for s in suites]
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             words = Words(b.column(at), alnum=True)
             keep = np.ones(b.num_rows, bool)
             for s in sent:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, hinted, small_batches, table
+from .common import components, cut, hinted, pieces, table
 
 COSINE = 0.93
 #: Rows the rotation is fitted on.
@@ -53,7 +53,7 @@ def rotation(vectors: DataFrame, fit_rows: int = FIT_ROWS) -> dict[int, np.ndarr
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(vec_id, label, embedding) -> raw: the components as doubles; ok: whether it can link."""
-    for b in batches:
+    for b in pieces(batches):
         col = b.column(2)
         flat, lens = np.asarray(col.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)), np.asarray(col.value_lengths().fill_null(0))
         ends = np.cumsum(lens)
@@ -69,7 +69,7 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cells(turn: dict[int, np.ndarray], eps: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             keys = []
             for r in b.column("raw").to_pylist():
                 x = np.frombuffer(r, "<f8")
@@ -104,7 +104,7 @@ def _blocks(turn: dict[int, np.ndarray], size: int):
         from pyspark import TaskContext
 
         part, k, held = TaskContext.get().partitionId(), 0, []
-        for b in batches:
+        for b in pieces(batches):
             for row in zip(*(b.column(c).to_pylist() for c in ("class", "label", "members", "raw")), strict=True):
                 if held and (len(held) == size or row[1] != held[0][1] or len(row[3]) != len(held[0][3])):
                     yield emit(held, part, k)
@@ -202,7 +202,7 @@ def _join(t: float):
         return x, x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             for r in batch.to_pylist():
                 same = r["block"] == r["block2"]
                 a = unit(r["raw"], r["dims"])
@@ -229,7 +229,6 @@ def _join(t: float):
 def near_dedup(vectors: DataFrame, cosine: float = COSINE, dims: int = DIMS, block: int = BLOCK) -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
-    small_batches(spark)
     eps = float(np.sqrt(2 - 2 * cosine))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = cut(rows.mapInArrow(_unpack, "vec_id long, label long, raw binary, ok boolean"))

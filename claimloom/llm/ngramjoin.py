@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, components, cut, hinted, mix, release, shingle_set, small_batches, table
+from .common import Words, components, cut, hinted, mix, release, shingle_set, pieces, table
 
 N, PERCENT = 5, 80
 #: Most common shingles that are broadcast with their counts; 12 bytes each.
@@ -80,7 +80,6 @@ def digest(s: np.ndarray) -> int | None:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
@@ -88,7 +87,7 @@ def classes_of(docs: DataFrame, n: int = N) -> DataFrame:
     """(doc_id, size, cid) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             sets = _sets(b.column(1), n)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64())], names=["doc_id", "size", "cid"])
 
@@ -117,7 +116,7 @@ def frequent(docs: DataFrame, total: int, n: int, most: int = FREQUENT) -> tuple
     rest = np.uint64(48 - bits)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             sets = [s for _, s in _once(_sets(b.column(1), n))]
             if not sets:
                 continue
@@ -197,7 +196,7 @@ def postings(docs: DataFrame, total: int, common, n: int, percent: int) -> DataF
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             made = [(d, len(s), *prefix(s, sent.value, percent)) for d, s in _once(_sets(b.column(1), n))]
             if not made:
                 continue
@@ -280,7 +279,7 @@ def set_table(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(id_bitmap(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             for part in (b.slice(i, 200) for i in range(0, b.num_rows, 200)):
                 made = dict(_once(_sets(part.column(1), n)))
                 cids = np.array(list(made), np.int64)
@@ -304,7 +303,7 @@ def signatures(sets: DataFrame) -> DataFrame:
     """(cid, size, sig) of sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             made = [np.frombuffer(x.as_py(), "<u8") for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in made], pa.int32()), pa.array([parity(s) for s in made], pa.binary())], names=["cid", "size", "sig"])
 
@@ -349,7 +348,7 @@ def sieved(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     """(a, b, share) of the pairs (a, b) that signatures let link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             n = b.num_rows
             all_ = Parities(np.concatenate([b.column(2).to_numpy(), b.column(4).to_numpy()]), b.column(3).to_pylist() + b.column(5).to_pylist())
             share = all_.share(np.arange(n), n + np.arange(n))
@@ -364,7 +363,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             keep = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
                 x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
@@ -524,7 +523,6 @@ def _class(docs: DataFrame, n: int) -> DataFrame:
     def cid(texts: pd.Series) -> pd.Series:
         return pd.Series([digest(s) for s in _sets(pa.array(texts, pa.string(), from_pandas=True), n)], dtype="Int64")
 
-    small_batches(docs.sparkSession)
     return docs.withColumn("__cid", cid(F.col("text").cast("string")))
 
 

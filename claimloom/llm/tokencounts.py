@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffers, small_batches, table
+from .common import buffers, pieces, table
 
 #: A vocabulary as lines of base64 token and rank; every executor must see this path.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -74,12 +74,11 @@ def count_tokens(docs: DataFrame, rule: str = "start", path: str = VOCABULARY, p
     """Per section: doc_id, section, start, end (characters), n_tokens, n_crossing, doc_tokens."""
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
-    small_batches(docs.sparkSession)
     names = ["section", "start", "end", "n_tokens", "n_crossing", "doc_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding, lens = encoder(path, pattern)
-        for b in batches:
+        for b in pieces(batches):
             data, at = buffers(b.column(1))
             text, rows = [], []
             for i, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)):

@@ -11,14 +11,25 @@ from pyspark.sql import functions as F
 from claimloom.llm import chat, common, decontaminate, embeddings, mixing, ngramjoin, sharding, substrings, tokencounts, toxicity, urlfilter
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, hash long, slot string"
-RNG = np.random.default_rng(5)
+RNG = np.random.default_rng(0)
+SF = "/root/testdata/sf0.001"
 VOCAB = [f"w{i}" for i in range(400)] + ["É", "ß", "Ünï", "the", "of"]
 
 
+@pytest.fixture(autouse=True)
+def own_generator(request):
+    global RNG
+    RNG = np.random.default_rng(zlib.crc32(request.node.name.encode()))
+
+
 def prose(n):
     return " ".join(RNG.choice(VOCAB, n))
 
 
+def plain(n):
+    return " ".join(RNG.choice(VOCAB[:400], n))
+
+
 def edited(text, k):
     w = text.split(" ")
     for i in RNG.choice(len(w), k, replace=False):
@@ -28,6 +39,8 @@ def edited(text, k):
 
 @pytest.fixture(scope="module")
 def texts():
+    global RNG
+    RNG = np.random.default_rng(5)
     base = [prose(60) for _ in range(12)]
     long = prose(12_000)
     out = [*base, *[edited(base[0], 1) for _ in range(14)], *[edited(base[1], 2) for _ in range(3)], base[2], base[2].upper(), "", None, " \n ", "one two", "One  TWO", "x" * 40_000, long, edited(long, 300), "a b c d e", "\u2003em space", "The "]
@@ -120,7 +133,7 @@ def test_keep_one_goes_by_row(spark):
 
 def test_sharding(docs, texts, none, spark, tmp_path):
     out = sharding.assign(docs, shards=4, slots=64)
-    assert out.count() == len(texts) and sorted(out.columns) == sorted(docs.columns + ["shard"])
+    assert out.count() == len(texts) and sorted(out.columns) == sorted(docs.columns + ["_slot", "shard"])
     even = spark.createDataFrame([(i, f"text {i}") for i in range(500)], "doc_id long, text string")
     slotted, _, first = sharding.plan(even, 4, 64)
     stats = common.cut(sharding.slot_stats(slotted, 64))
@@ -162,13 +175,38 @@ def test_mixing(docs, texts, none, spark):
             break
         full |= over
     assert sorted({round(r["target"], 6) for r in rows}) == sorted({round(x, 6) for x in target.values()})
-    again = {(r["key"], r["row"]): r["copies"] for r in mixing.draws(docs).collect()}
-    assert again == {(r["key"], r["row"]): r["copies"] for r in rows}
+    for t in {r["target"] for r in rows}:  # whole documents: short of the target by less than the longest
+        own = [r for r in rows if r["target"] == t]
+        taken = sum(r["size"] * len(r["copies"]) for r in own)
+        assert t + 1e-6 >= taken > t - max(r["size"] for r in own) - 1
+    again = {r["row"]: r["copies"] for r in mixing.draws(docs).collect()}
+    assert again == {r["row"]: r["copies"] for r in rows}
     mixed = mixing.mix(docs)
     assert mixed.count() == sum(len(r["copies"]) for r in rows)
     assert mixing.mix(none).count() == 0
 
 
+def test_mix_tells_rows_apart(spark):
+    rows = [(1, "a b c", None, "zz", None, 1), (1, "a b c", "zz", None, None, 2), (1, "a b c", None, "zz", None, 3), (None, "d e", None, "x", {"k": 1}, 4), (None, "d e", None, "x", {"k": 2}, 5), (2, "d e", None, "y", None, 6), (2, "f " * 300, None, "y", None, 7), (3, None, None, "y", None, 8)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, key string, source string, m map<string,int>, mix_shard int")
+    out = mixing.mix(d, 2)
+    assert out.columns == [*d.columns, "_mix_shard", "mix_order"]
+    got = [tuple(r)[:6] for r in out.collect()]
+    wanted = {r["row"]: len(r["copies"]) for r in mixing.draws(d, 2).collect()}
+    assert len(got) == sum(wanted.values()) and set(map(repr, got)) <= set(map(repr, rows))
+    assert max(sum(x == r for x in got) for r in rows) <= 2
+    every = mixing.mix(d, 2, budget=2.0)  # everything is wanted twice
+    assert sorted(repr(tuple(r)[:6]) for r in every.collect()) == sorted(map(repr, rows * 2))
+
+
+def test_mixing_of_copies(spark):
+    rows = [(None, "same words here", "s")] * 3000 + [(i, f"own words {i}", "t") for i in range(1000)]
+    out = mixing.draws(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for size in {r["source_size"] for r in out}:
+        own = [r for r in out if r["source_size"] == size]
+        assert abs(sum(r["size"] * len(r["copies"]) for r in own) - own[0]["target"]) <= 3
+
+
 def test_split_tree_meets_quotas(spark):
     tree = mixing.split_tree(spark.createDataFrame([(0, 100), (1, 7), (2, 0)], "sidx int, quota long"), 8)
     upto = {r["sidx"]: r["upto"] for r in tree.collect()}
@@ -221,26 +259,181 @@ def test_toxicity(spark, none):
     assert toxicity.clean(d, labels.limit(0)).count() == 602
 
 
+def removed_by_hand(rows, min_words, passage_words):
+    """(doc_id, start, end, words) of what substrings.repeats() should give for rows in order."""
+    units = []
+    for n, (doc, text) in enumerate(rows):
+        sentences, lines, at = [], [], 0
+        for line in re.split(r"\n", text or ""):
+            first, held = len(sentences), []
+            for m in WORDS.finditer(line):
+                held.append((m[0].translate(LOW), at + m.start(), at + m.end()))
+                if re.search(r"[.!?][\"')\]]{0,3}$", m[0]):
+                    sentences.append(held)
+                    held = []
+            sentences += [held] if held else []
+            if len(sentences) > first:
+                lines.append((first, len(sentences) - 1))
+            at += len(line) + 1
+        spans = [(k, k, (k, k) in lines) for k in range(len(sentences))] + [(a, b, True) for a, b in lines if b > a]
+        for k in range(len(sentences)):
+            b, size = k, len(sentences[k])
+            while size < substrings.TINY and b + 1 < len(sentences):
+                b, size = b + 1, size + len(sentences[b + 1])
+            if b > k and size >= substrings.TINY:
+                spans.append((k, b, False))
+        units.append((n, doc, sentences, spans))
+    words = lambda ss, a, b: tuple(w for s in ss[a : b + 1] for w, _, _ in s)
+    rank = lambda n, doc: (doc is not None, doc or 0, n)
+    first = {}
+    for n, doc, ss, spans in units:
+        for a, b, _ in spans:
+            key = words(ss, a, b)
+            first[key] = min(first.get(key, ((9,), 0)), (rank(n, doc), a))
+    out = []
+    for n, doc, ss, spans in units:
+        found = [x for x in spans if first[words(ss, *x[:2])] != (rank(n, doc), x[0])]
+        single = {a for a, b, _ in found if a == b}
+        together = {k for a, b, _ in found if b > a for k in range(a, b + 1)}
+        gone = {k for a, b, line in found if line and len(words(ss, a, b)) >= min_words for k in range(a, b + 1)}
+        k = 0
+        while k < len(ss):
+            e = k
+            while e in single:
+                e += 1
+            if sum(len(ss[i]) for i in range(k, e) if len(ss[i]) >= substrings.TINY or i in together) >= passage_words:
+                gone |= set(range(k, e))
+            k = e + 1
+        for k in sorted(gone):
+            if k - 1 not in gone:
+                e = k
+                while e + 1 in gone:
+                    e += 1
+                out.append((doc, ss[k][0][1], ss[e][-1][2], len(words(ss, k, e))))
+    return sorted(out, key=repr)
+
+
 def test_substrings(spark, none):
-    passage = ". ".join(prose(11).capitalize() for _ in range(6)) + "."
-    rows = [(1, f"Own start here. {passage}\n{prose(9)}"), (2, f"Another text é. {passage} And a tail."), (3, "All rights reserved.\n" + prose(40)), (4, "All rights reserved."), (5, None), (6, ""), (7, passage.upper())]
-    d = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, start int")
+    passage = ". ".join(plain(11).capitalize() for _ in range(6)) + "."
+    rows = [(1, f"Own start here. {passage}\n{plain(9)}"), (2, f"Another text é. {passage} And a tail."), (3, "All rights reserved.\n" + plain(40)), (4, "All rights reserved."), (5, None), (6, ""), (7, passage.upper())]
+    d = spark.createDataFrame([(i, t, 0, "x") for i, t in rows], "doc_id long, text string, start int, removed string").coalesce(1)
     got = {r["doc_id"]: r for r in substrings.repeats(d).collect()}
-    assert set(got) == {2, 7} and got[2]["first_doc_ids"] == [1]
+    assert set(got) == {2, 4, 7} and got[2]["first_doc_ids"] == [1]
     assert rows[1][1][got[2]["start"] : got[2]["end"]] == passage
-    out = {r["doc_id"]: r["text"] for r in substrings.dedup(d).collect()}
-    assert out[2] == "Another text é.  And a tail." and out[7] == "" and out[1] == rows[0][1] and out[5] is None
-    assert substrings.repeats(none).count() == 0
+    out = {r["doc_id"]: r for r in substrings.dedup(d).collect()}
+    assert out[2]["text"] == "Another text é.  And a tail." and out[7]["text"] == out[4]["text"] == "" and out[1]["text"] == rows[0][1] and out[5]["text"] is None
+    assert out[2]["removed"] == "x" and len(out[2]["_removed"]) == 1 and out[1]["_removed"] is None
+    assert {r["doc_id"] for r in substrings.repeats(d, min_words=4).collect()} == {2, 7}
+    assert substrings.repeats(none).count() == 0 and substrings.dedup(none).count() == 0
+
+
+def test_substrings_fold_ascii_only(spark):
+    d = spark.createDataFrame([(1, "Über Éa stands HERE."), (2, "über éa stands here."), (3, "Über Éa  stands here.")], "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"] for r in substrings.repeats(d).collect()} == {3}
+
+
+def test_substrings_keep_other_rows(spark):
+    own, copied = plain(500), plain(60)
+    rows = [(1, copied), (5, copied), (5, own), (None, copied + "."), (None, plain(50)), (None, copied + ".")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = sorted(((r["doc_id"], r["text"]) for r in substrings.dedup(d).collect()), key=repr)
+    assert out == sorted([rows[0], (5, ""), rows[2], rows[3], rows[4], (None, "")], key=repr)
 
 
 def test_substrings_of_short_units(spark):
-    verse = "\n".join(f"{a} {b}!" for a, b in zip(prose(80).split(" "), range(80), strict=True))
+    verse = "\n".join(f"{a} {b}!" for a, b in zip(plain(80).split(" "), range(80), strict=True))
     words = [f"v{i}" for i in range(120)]
-    rows = [(1, verse), (2, f"Own words here. \n{verse}\nThe end of it."), (3, "\n".join(words)), (4, "\n".join(words[::-1])), (5, "All rights.\n" + prose(9)), (6, "All rights.\n" + prose(9))]
-    d = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r for r in substrings.repeats(d).collect()}
+    rows = [(1, verse), (2, f"Own words here. \n{verse}\nThe end of it."), (3, "\n".join(words)), (4, "\n".join(words[::-1])), (5, "All rights.\n" + plain(9)), (6, "All rights.\n" + plain(9))]
+    d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r for r in substrings.repeats(d, min_words=30).collect()}
     assert set(got) == {2}  # the words of 4 are those of 3 in another order
     assert rows[1][1][got[2]["start"] : got[2]["end"]] == verse and got[2]["n_words"] == 160
+    assert {r["doc_id"] for r in substrings.repeats(d).collect()} == {2, 4, 6}  # every line that repeats
+
+
+@pytest.mark.parametrize("how", [(1, 30), (5, 30), (30, 12), (1, 10**9)])
+def test_substrings_against_brute_force(spark, how, monkeypatch):
+    pool = [plain(int(n)).capitalize() + str(RNG.choice([".", "!", '."', "", "...", "?')"])) for n in RNG.integers(1, 9, 40)]
+    rows = [(int(i) if i % 9 else None, "".join(str(RNG.choice(pool)) + str(RNG.choice([" ", "\n", "  ", "\n\n"])) for _ in range(RNG.integers(1, 14)))) for i in RNG.integers(0, 60, 90)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = lambda: sorted(((r["doc_id"], r["start"], r["end"], r["n_words"]) for r in substrings.repeats(d, *how).collect()), key=repr)
+    want = removed_by_hand(rows, *how)
+    assert want and got() == want
+    if how == (1, 30):  # the commonest digests by broadcast
+        monkeypatch.setattr(substrings, "max", lambda *_: 5, raising=False)
+        assert got() == want
+
+
+def test_op3_of_tables(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = sorted(((r["doc_id"], r["start"], r["end"], r["n_words"]) for r in substrings.op3_substring_dedup(spark, SF).collect()), key=repr)
+    assert got == removed_by_hand(rows, substrings.MIN_WORDS, substrings.PASSAGE_WORDS)
+
+
+def test_op2_of_tables(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = sharding.op2_sharding(spark, SF).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts) and {r["law"] for r in rows} == {"bytes"}
+    loads, places, of_text = [0] * sharding.SHARDS, {}, {}
+    for r in rows:
+        raw = texts[r["doc_id"]].encode()
+        assert (r["size"], r["text_crc32"]) == (len(raw) + 8, zlib.crc32(raw)) and r["grown_shard"] is None
+        loads[r["shard"]] += r["size"]
+        places.setdefault(r["shard"], []).append(r["slot"])
+        if not r["spread"]:
+            assert of_text.setdefault(raw, r["shard"]) == r["shard"]  # equal texts stay together
+    assert all(sorted(x) == list(range(len(x))) for x in places.values())
+    assert max(loads) <= max(1.02 * sum(loads) / len(loads), max(r["size"] for r in rows))
+
+
+def test_op5_of_tables(spark):
+    encoding, _ = tokencounts.encoder(tokencounts.VOCABULARY, tokencounts.PATTERN)
+    want = []
+    for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect():
+        raw, lines = r["text"].encode(), r["text"].split("\n")
+        starts = np.cumsum([0, *(len(x.encode()) + 1 for x in lines[:-1])])
+        tally, at = [0] * len(lines), 0
+        for token in encoding.encode_ordinary(r["text"]):
+            tally[max(k for k, x in enumerate(starts) if x <= at)] += 1
+            at += len(encoding.decode_single_token_bytes(token))
+        assert at == len(raw)
+        want += [(r["doc_id"], k, n) for k, n in enumerate(tally) if k == 0 or starts[k] < len(raw)]
+    ids = {w[0] for w in want}
+    got = [(r["doc_id"], r["section"], r["n_tokens"]) for r in tokencounts.op5_token_counts(spark, SF).where(F.col("doc_id").isin(list(ids))).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_ftrl_against_a_plain_loop():
+    rows = [(np.sort(RNG.choice(60, 9, replace=False)).astype("<i4"), int(RNG.random() < 0.3)) for _ in range(200)]
+    at, w = toxicity.ftrl(rows, 6, 2)
+    seen = {}
+    for x, _ in rows:
+        for i in x.tolist():
+            seen[i] = seen.get(i, 0) + 1
+    z, n, share = {}, {}, sum(y for _, y in rows) / len(rows)
+    weight = lambda i: 0.0 if abs(z.get(i, 0)) <= toxicity.L1 else (np.sign(z[i]) * toxicity.L1 - z[i]) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+    for _ in range(2):
+        for x, y in rows:
+            places = [i for i in x.tolist() if seen[i] > 1] + [-1]
+            old = {i: weight(i) for i in places}
+            p = 1 / (1 + np.exp(-sum(old.values())))
+            g = (p - y) * (min(1, (1 - share) / share) if y else 1)
+            for i in places:
+                m = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - ((m + g * g) ** 0.5 - m**0.5) / toxicity.ALPHA * old[i]
+                n[i] = m + g * g
+    want = {i: weight(i) for i in z if abs(z[i]) > toxicity.L1}
+    assert want and set(want) == set(at.tolist()) and np.allclose([want[i] for i in at.tolist()], w)
+
+
+def test_toxicity_columns_and_bound(spark):
+    d = spark.createDataFrame([(i, "vile scum" if i % 2 else "kind words", "x", 1.0) for i in range(60)], "doc_id long, text string, score string, __score double")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    model = toxicity.fit(d, labels)
+    assert toxicity.score(d, model).columns == [*d.columns, "_score"]
+    assert toxicity.clean(d, labels).columns == d.columns
+    less = toxicity.fit(d, labels, max_places=40)
+    assert len(less[0]) and abs(less[1]).sum() < abs(model[1]).sum()
 
 
 @pytest.mark.parametrize("rule", tokencounts.RULES)
@@ -327,7 +520,7 @@ def _verdicts(spark, urls, bad):
 def test_urls_small_branch_of_a_large_host(spark):
     urls = [f"https://a.example.net/{d}/{i}" for d, n in (("fine", 3000), ("spam", 30), ("junk", 30)) for i in range(n)]
     out = _verdicts(spark, urls, lambda u: "/fine/" not in u)
-    assert {v for u, v in out.items() if "/spam/" in u} == {("block", "/spam/{n}")} and {v for u, v in out.items() if "/fine/" in u} == {("allow", "/fine/{n}")}
+    assert {v for u, v in out.items() if "/spam/" in u} == {("block", "/{junk|+1}/{n}")} and {v for u, v in out.items() if "/fine/" in u} == {("allow", "/fine/{n}")}
     many = [f"https://b.example.net/{d}{chr(97 + k // 26)}{chr(97 + k % 26)}/{i}" for d in ("ok-", "no-") for k in range(70) for i in range(25)]
     out = _verdicts(spark, many, lambda u: "/no-aa/" in u)  # 1 of 140 branches, under a fiftieth of the pages
     assert {u for u, v in out.items() if v[0] == "block"} == {u for u in many if "/no-aa/" in u}
@@ -341,10 +534,73 @@ def test_urls_deep_branches(spark):
     assert out[urls[0]][1] == "/*/*/*/*/spam/{n}" and out[urls[-1]][1].count("/") == 46
 
 
+def tree_by_hand(urls, bad, support, z):
+    """url -> (template, purity): the tree over urls that are all labelled."""
+    forms = {u: tuple(re.sub(r"^[0-9]+$", "{n}", x) for x in u.split("/")[3:] if x) for u in urls}
+    template = {u: () for u in urls}
+
+    def differ(a, n, b, m):
+        if not n or not m:
+            return False
+        p = (a + b) / (n + m)
+        return abs(a / n - b / m) > z * (p * (1 - p) * (1 / n + 1 / m)) ** 0.5
+
+    level, grown = 0, True
+    while grown:
+        grown, parents = False, {}
+        for u in urls:
+            if len(forms[u]) > level:
+                parents.setdefault((u.split("/")[2], template[u]), {}).setdefault(forms[u][level], []).append(u)
+        for kids in parents.values():
+            every = [u for us in kids.values() for u in us]
+            grown |= len(every) >= support
+            rate = lambda us: sum(bad(u) for u in us)
+            own = [k for k, us in kids.items() if len(every) >= support and len(us) >= support and (len(us) == len(every) or differ(rate(us), len(us), rate(every) - rate(us), len(every) - len(us)))]
+            runs = []
+            for k in sorted(own, key=lambda k: (rate(kids[k]) / len(kids[k]), k)):
+                a, n = rate(kids[k]), len(kids[k])
+                if runs and not differ(runs[-1][1], runs[-1][2], a, n):
+                    runs[-1] = [runs[-1][0] + [k], runs[-1][1] + a, runs[-1][2] + n]
+                else:
+                    runs.append([[k], a, n])
+            names = {k: r[0][0] if len(r[0]) == 1 else f"{{{min(r[0])}|+{len(r[0]) - 1}}}" for r in runs for k in r[0]}
+            for k, us in kids.items():
+                for u in us:
+                    template[u] += (names.get(k, "*"),)
+        level += 1
+    template = {u: t + ("*",) * (len(forms[u]) - len(t)) for u, t in template.items()}
+    base, out = sum(map(bad, urls)) / len(urls), {}
+    for u in urls:
+        host = [v for v in urls if v.split("/")[2] == u.split("/")[2]]
+        same = [v for v in host if template[v] == template[u]]
+        prior = (sum(map(bad, host)) + 10 * base) / (len(host) + 10)
+        out[u] = ("/" + "/".join(template[u]), (sum(map(bad, same)) + 10 * prior) / (len(same) + 10))
+    return out
+
+
+def test_urls_alike_branches_merge(spark):
+    urls = [f"https://a.example.net/{d}/{i}/x" for d in ("spama", "spamb", "finea", "fineb") for i in range(40)]
+    out = _verdicts(spark, urls, lambda u: "/spam" in u)
+    assert {v for u, v in out.items() if "/spam" in u} == {("block", "/{spama|+1}/{n}/x")} and {v for u, v in out.items() if "/fine" in u} == {("allow", "/{finea|+1}/{n}/x")}
+
+
+def test_urls_against_brute_force(spark):
+    names = ["alpha", "beta", "gamma", "delta", "eps"]
+    urls = sorted({f"https://{RNG.choice(['h.example.net', 'g.example.net'])}/{RNG.choice(names)}/{RNG.choice(names)}/{RNG.choice(names + ['7'])}/{RNG.integers(10**6)}" for _ in range(1500)})
+    odds = {n: k / 4 for k, n in enumerate(names)}
+    luck = dict(zip(urls, RNG.random(len(urls)), strict=True))
+    bad = lambda u: bool(luck[u] < odds[u.split("/")[4]] * odds[u.split("/")[3]])
+    want = tree_by_hand(urls, bad, urlfilter.SUPPORT, urlfilter.Z)
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1, int(bad(u))) for i, u in enumerate(urls)], "doc_id long, quality int, toxic int")
+    got = {urls[r["page_id"]]: (r["template"], round(r["purity"], 9)) for r in urlfilter.judge(pages, labels).collect()}
+    assert got == {u: (t, round(p, 9)) for u, (t, p) in want.items()} and len({t for t, _ in got.values()}) > 5
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
-    src = "/root/testdata/sf0.001"
+    src = SF
     d = spark.read.parquet(f"{src}/documents.parquet")
     for name, df in (("documents", d.unionByName(d.limit(3)).unionByName(spark.createDataFrame([(None, None, None, None, None)], d.schema))), ("labels", spark.read.parquet(f"{src}/labels.parquet")), ("benchmark", spark.read.parquet(f"{src}/benchmark.parquet"))):
         df.write.parquet(str(tmp_path / f"{name}.parquet"))
