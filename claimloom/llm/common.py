@@ -193,6 +193,21 @@ def _stars(e: DataFrame) -> bool:
     return roles.where("out > 1 or out = 1 and `in` = 1").limit(1).count() == 0
 
 
+#: A node with more than this share of all ends of edges is a hub: 1 / HUB_SHARE hubs at most.
+HUB_SHARE, HUB_LEAST = 1e-4, 500
+
+
+def _with_low(e: DataFrame, low: DataFrame, total: int) -> DataFrame:
+    """e (a, b) with m of low (a, m, n); the many rows of hubs meet theirs by broadcast."""
+    hub = F.col("n") > max(HUB_LEAST, int(total * HUB_SHARE))
+    hubs = F.broadcast(low.where(hub).select("a", F.col("m").alias("hub_m")))
+    marked = e.join(hubs, "a", "left")
+    spread = F.col("hub_m").isNotNull()  # under keys that match nothing, dealt out evenly
+    marked = marked.withColumn("k", F.when(spread, F.col("b")).otherwise(F.col("a"))).withColumn("k2", F.when(~spread, F.lit(0)))
+    rest = low.where(~hub).select(F.col("a").alias("k"), F.lit(0).alias("k2"), "m")
+    return marked.join(rest, ["k", "k2"], "left").select("a", "b", F.coalesce("hub_m", "m").alias("m"))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of the graph of edges (a, b), component: its smallest node.
 
@@ -203,11 +218,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if _stars(e):
             break
+        total = 2 * e.count()
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = cut(_with_low(both.where("b > a"), low, total).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = _with_low(large, low, total).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         e = cut(small.where("a <> b").distinct())
         release(e.sparkSession)
     else:

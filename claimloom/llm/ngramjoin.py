@@ -54,7 +54,7 @@ N, PERCENT = 5, 80
 FREQUENT = 1 << 18
 SMALL = 8
 #: Shingles of up to GATHER classes are met in tasks of some PER_GATHER postings; others by join.
-GATHER, PER_GATHER = 1 << 16, 1 << 14
+GATHER, PER_GATHER = 1 << 16, 1 << 12
 #: Slots of a parity signature, as powers of two: the least and the most.
 PARITY = 9, 16
 #: Bits, as a power of two, of the sieve that spares most texts the way to verification.

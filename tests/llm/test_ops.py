@@ -110,6 +110,17 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(common, "HUB_LEAST", 3)
+    edges = [(1000, i) for i in range(0, 200, 2)] + [(5, i) for i in range(1, 200, 4)] + [(199, 300), (300, 301), (401, 400)]
+    got = {r["node"]: r["component"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    up = {x: x for e in edges for x in e}
+    for _ in edges:
+        for a, b in edges:
+            up[a] = up[b] = min(up[a], up[b])
+    assert got == up
+
+
 def test_near_duplicates(docs, texts, none, monkeypatch):
     got = lambda: sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngramjoin.near_duplicates(docs).collect()), key=repr)
     assert got() == groups(texts)
@@ -235,8 +246,25 @@ def test_decontamination(docs, texts, spark, none):
     got = lambda **k: sorted((tuple(r) for r in decontaminate.report(docs, bench, **k).drop("items").collect()), key=repr)
     assert got() == sorted(want, key=repr) and got(block_bytes=1) == sorted(want, key=repr)
     clean = decontaminate.clean(docs, bench)
+    assert decontaminate.clean(docs, bench, block_bytes=1).count() == sum(not x[5] for x in want)
     assert clean.columns == docs.columns and clean.count() == sum(not x[5] for x in want)
+    every = {tuple(r) for r in decontaminate.longest_matches(docs, bench).select("doc_id", "item_id", "item_word", "doc_word", "n_words").collect()}
+    brute = set()
+    for d, x in texts:
+        w = words(x)
+        for i, y in items:
+            v = words(y)
+            n = min(10, len(v))
+            for a in range(len(w) - n + 1) if n else ():
+                for b in range(len(v) - n + 1):
+                    if w[a : a + n] == v[b : b + n] and (not a or not b or w[a - 1] != v[b - 1]):
+                        m = n
+                        while a + m < len(w) and b + m < len(v) and w[a + m] == v[b + m]:
+                            m += 1
+                        brute.add((d, str(i), b, a, m))
+    assert every == brute and {tuple(r) for r in decontaminate.longest_matches(docs, bench, block_bytes=1).select("doc_id", "item_id", "item_word", "doc_word", "n_words").collect()} == brute
     longest = decontaminate.longest_matches(docs, bench).where("item_id = '2' and doc_id = 1").first()
+    assert words(texts[1][1][longest["start"] : longest["end"]]) == words(texts[1][1])
     assert longest["n_words"] == 60 and longest["item_word"] == 1
     assert decontaminate.report(none, bench).count() == 0
     assert decontaminate.report(docs, bench.limit(0)).where("contaminated").count() == 0
@@ -470,7 +498,8 @@ def test_chat_trees(spark):
 def test_embeddings(spark):
     base = RNG.normal(size=(6, 16))
     rows = [(i, i % 2, (base[i % 6] * RNG.uniform(0.5, 2) + RNG.normal(size=16) * 0.13).tolist()) for i in range(300)]
-    rows += [(400 + i, 0, rows[0][2]) for i in range(5)] + [(500, None, rows[0][2]), (501, 0, None), (502, 0, [0.0] * 16), (503, 0, [float("nan")] * 16), (504, 0, []), (505, 0, [1.0, None]), (506, 0, [1.0]), (507, 0, [3.0]), (5, 0, rows[0][2])]
+    rows += [(400 + i, 0, rows[0][2]) for i in range(5)] + [(500, None, rows[0][2]), (501, 0, None), (502, 0, [0.0] * 16), (503, 0, [float("nan")] * 16), (504, 0, []), (505, 0, [1.0, None]), (506, 0, [1.0]), (507, 0, [3.0]), (5, 0, rows[0][2]), (600, 1, [1e200, 0.0]), (601, 1, [1e200, 0.0]), (602, 1, [1e-200, 0.0]), (603, 1, [1.0, 0.0]), (604, 1, [5e-324, 5e-324])]
+    scaled = lambda e: np.array(e) / max(map(abs, e))
     df = spark.createDataFrame([(*r, 7) for r in rows], "vec_id long, label int, embedding array<double>, n_links int")
     ok = [k for k, (_, l, e) in enumerate(rows) if l is not None and e and None not in e and np.isfinite(e).all() and any(e)]
     links, up = {k: 0 for k in range(len(rows))}, list(range(len(rows)))
@@ -482,7 +511,7 @@ def test_embeddings(spark):
 
     for a in ok:
         for b in ok:
-            x, y = np.array(rows[a][2]), np.array(rows[b][2])
+            x, y = scaled(rows[a][2]), scaled(rows[b][2])
             if a != b and rows[a][1] == rows[b][1] and len(x) == len(y) and x @ y / (np.sqrt(x @ x) * np.sqrt(y @ y)) >= 0.93:
                 links[a] += 1
                 up[top(a)] = top(b)
