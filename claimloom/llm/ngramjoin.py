@@ -1,7 +1,7 @@
 """N-gram Jaccard join by adaptive multi-match prefixes, and the groups it makes.
 
 Documents are sets of 64-bit hashes of `n`-word shingles; equal sets are one class, joined
-once. Two sets link when 100 * intersection >= percent * union, exactly.
+once, and a class with many copies is made from its row of the lowest doc_id alone. Two sets link when 100 * intersection >= percent * union, exactly.
 
 Order. Shingles are counted over all documents (packed and pre-summed per batch, so a
 common shingle weighs no more than a rare one); the FREQUENT most common ones, a fixed
@@ -55,6 +55,10 @@ FREQUENT = 1 << 18
 SMALL = 8
 #: Shingles of up to GATHER classes are met in tasks of some PER_GATHER postings; others by join.
 GATHER, PER_GATHER = 1 << 16, 1 << 12
+#: Classes with more rows than this share, and this number, are made from one row only.
+HEAVY, HEAVY_LEAST = 1e-4, 200
+#: Shingles counted this often go to tasks by class, not all to one.
+HOT = 1 << 13
 #: Slots of a parity signature, as powers of two: the least and the most.
 PARITY = 9, 16
 #: Bits, as a power of two, of the sieve that spares most texts the way to verification.
@@ -94,9 +98,21 @@ def classes_of(docs: DataFrame, n: int = N) -> DataFrame:
     return _texts(docs).mapInArrow(run, "doc_id long, size long, cid long")
 
 
-def _once(sets: list[np.ndarray]) -> list[tuple[int, np.ndarray]]:
-    """The classes of a batch, each once."""
-    return list({d: s for s in sets if (d := digest(s)) is not None}.items())
+def _once(b: pa.RecordBatch, n: int, heavy: dict[int, int | None]) -> list[tuple[int, np.ndarray]]:
+    """The classes of a batch (doc_id, text), each once; heavy ones only where their least doc_id is."""
+    out = {}
+    for doc, s in zip(b.column(0).to_pylist(), _sets(b.column(1), n), strict=True):
+        d = digest(s)
+        if d is not None and heavy.get(d, doc) == doc:
+            out[d] = s
+    return list(out.items())
+
+
+def heavy_classes(rows: DataFrame, count: int) -> dict[int, int | None]:
+    """The least doc_id of each class of more than HEAVY of all rows; 1 / HEAVY classes at most."""
+    sizes = rows.where("cid is not null").groupBy("cid").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
+    many = sizes.where(F.col("n") > max(HEAVY_LEAST, int(count * HEAVY))).select("cid", "doc_id").toArrow()
+    return dict(zip(many.column(0).to_pylist(), many.column(1).to_pylist(), strict=True))
 
 
 def _five(x: np.ndarray) -> bytes:
@@ -110,14 +126,14 @@ def _unfive(b: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def frequent(docs: DataFrame, total: int, n: int, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+def frequent(docs: DataFrame, total: int, n: int, heavy: dict[int, int | None], most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
     """(first 48 bits of the hash, sorted; count) of the most common shingles, `most` at most."""
     bits = min(24, max(8, int(np.ceil(np.log2(max(1, total) / PER_BUCKET)))))
     rest = np.uint64(48 - bits)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            sets = [s for _, s in _once(_sets(b.column(1), n))]
+            sets = [s for _, s in _once(b, n, heavy)]
             if not sets:
                 continue
             keys, counts = np.unique(np.concatenate(sets) >> np.uint64(16), return_counts=True)
@@ -160,8 +176,8 @@ def frequent(docs: DataFrame, total: int, n: int, most: int = FREQUENT) -> tuple
     return keys[order], df[order]
 
 
-def prefix(s: np.ndarray, common: tuple[np.ndarray, np.ndarray], percent: int) -> tuple[np.ndarray, int]:
-    """(the lengthened prefix of a set, the matches it asks for)."""
+def prefix(s: np.ndarray, common: tuple[np.ndarray, np.ndarray], percent: int) -> tuple[np.ndarray, int, np.ndarray]:
+    """(the lengthened prefix of a set, the matches it asks for, how common its shingles are)."""
     keys, df = common
     n = len(s)
     p = n - (n * percent + 99) // 100 + 1
@@ -174,7 +190,8 @@ def prefix(s: np.ndarray, common: tuple[np.ndarray, np.ndarray], percent: int) -
     spent = int(cost[order[:p]].sum())
     need = 1 + p // 4 + (p // 4 if spent else 0)
     need = min(need, n - p + 1)
-    return s[order[: p + need - 1]], need
+    own = order[: p + need - 1]
+    return s[own], need, cost[own]
 
 
 def levels(m: int, need: int) -> np.ndarray:
@@ -185,9 +202,12 @@ def levels(m: int, need: int) -> np.ndarray:
 POSTINGS = "kind int, token long, a long, b long, size int, need int, count int"
 
 
-def postings(docs: DataFrame, total: int, common, n: int, percent: int) -> DataFrame:
+def postings(docs: DataFrame, total: int, common, n: int, percent: int, heavy: dict[int, int | None]) -> DataFrame:
     """What prefixes have in common, by bucket of hashes.
 
+    The postings of a HOT shingle are dealt out by class, in buckets of their own, so no task
+    has to hold them all; they are all of kind 1.
+
     kind 0: a pair (a, b) that shares `count` shingles here, each of SMALL classes at most,
     and needs `need` in all; kind 1: class a, with its size and need, holds a shingle of more
     classes, `token`, of level `count`.
@@ -197,7 +217,7 @@ def postings(docs: DataFrame, total: int, common, n: int, percent: int) -> DataF
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            made = [(d, len(s), *prefix(s, sent.value, percent)) for d, s in _once(_sets(b.column(1), n))]
+            made = [(d, len(s), *prefix(s, sent.value, percent)) for d, s in _once(b, n, heavy)]
             if not made:
                 continue
             token = np.concatenate([m[2] for m in made])
@@ -205,6 +225,9 @@ def postings(docs: DataFrame, total: int, common, n: int, percent: int) -> DataF
             level = np.concatenate([levels(len(m[2]), m[3]) for m in made])
             # the low bits decide: the high ones are what prefixes are sorted by
             bucket = (token & np.uint64(buckets - 1)).astype(np.int64)
+            hot = np.concatenate([m[4] for m in made]) >= HOT
+            ids = np.array([m[0] for m in made], np.int64).view(np.uint64)[own]
+            bucket[hot] = buckets + (mix(token[hot] ^ mix(ids[hot])) & np.uint64(buckets - 1)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             token, own, bucket, level = token[order], own[order], bucket[order], level[order]
             at = np.flatnonzero(np.diff(bucket, prepend=-1))
@@ -232,6 +255,8 @@ def postings(docs: DataFrame, total: int, common, n: int, percent: int) -> DataF
         token, cid, size, need, level = token[first], cid[first], size[first], need[first], level[first]
         at = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         m = np.diff(np.append(at, len(token)))
+        if part.column("bucket")[0].as_py() >= buckets:
+            m[:] = SMALL + 1
         out = []
         for k in range(2, SMALL + 1):
             begins = at[m == k]
@@ -247,7 +272,7 @@ def postings(docs: DataFrame, total: int, common, n: int, percent: int) -> DataF
         starts = np.flatnonzero(np.concatenate([[True], (pairs[0, 1:] != pairs[0, :-1]) | (pairs[1, 1:] != pairs[1, :-1])])) if pairs.shape[1] else np.zeros(0, np.int64)
         counts = np.diff(np.append(starts, pairs.shape[1]))
         pairs = pairs[:, starts]
-        big = np.repeat(m > SMALL, m)
+        big = np.repeat(m > SMALL, np.diff(np.append(at, len(token))))
         z = np.zeros(len(starts), np.int64)
         cols = {
             "kind": np.concatenate([z, z[:0], np.ones(int(big.sum()), np.int64)]).astype(np.int32),
@@ -274,14 +299,14 @@ def id_bitmap(ids: DataFrame, bits: int = BITMAP) -> bytes:
     return bytes(out)
 
 
-def set_table(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+def set_table(docs: DataFrame, wanted: DataFrame, n: int, heavy: dict[int, int | None]) -> DataFrame:
     """(cid, items) for wanted (cid): the sets, as packed sorted hashes, made from the texts."""
     sent = docs.sparkSession.sparkContext.broadcast(id_bitmap(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
             for part in (b.slice(i, 200) for i in range(0, b.num_rows, 200)):
-                made = dict(_once(_sets(part.column(1), n)))
+                made = dict(_once(part, n, heavy))
                 cids = np.array(list(made), np.int64)
                 if len(cids):
                     at = cids & ((1 << BITMAP) - 1)
@@ -380,10 +405,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def links(docs: DataFrame, rows: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """(a, b): links of classes that keep every component whole. rows: classes_of(docs), cut."""
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    common = frequent(docs, total, n)
+    total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    heavy = heavy_classes(rows, count)
+    common = frequent(docs, total, n, heavy)
     release(docs.sparkSession)
-    met = cut(postings(docs, total, common, n, percent))
+    met = cut(postings(docs, total, common, n, percent, heavy))
     release(docs.sparkSession)
     big = met.where("kind = 1").select("token", F.col("a").alias("cid"), "size", "need", F.col("count").alias("level"))
     counted = met.where("kind = 0").groupBy("a", "b").agg(F.sum("count").cast("long").alias("n"), F.min("need").alias("need"))
@@ -399,7 +425,7 @@ def links(docs: DataFrame, rows: DataFrame, n: int = N, percent: int = PERCENT)
     big = cut(big.where(F.col("held_first") + F.col("beside") >= floor_).withColumn("most_shared", F.col("held") + F.col("beside")).select("token", "cid", "size", "need", "level", "most_shared"))
 
     used = small.select(F.col("a").alias("cid")).union(small.select("b")).union(big.select("cid")).distinct()
-    sets = cut(set_table(docs, cut(used), n))
+    sets = cut(set_table(docs, cut(used), n, heavy))
     sigs = cut(signatures(sets))
     edges = cut(verified(small, sets, percent))
     release(docs.sparkSession)

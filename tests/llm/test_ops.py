@@ -126,6 +126,9 @@ def test_near_duplicates(docs, texts, none, monkeypatch):
     assert got() == groups(texts)
     monkeypatch.setattr(ngramjoin, "GATHER", 9)  # the path for the commonest shingles
     assert got() == groups(texts)
+    monkeypatch.setattr(ngramjoin, "HOT", 6)  # of which tasks get parts
+    monkeypatch.setattr(ngramjoin, "HEAVY_LEAST", 1)  # and classes of copies made once
+    assert got() == groups(texts)
     assert ngramjoin.near_duplicates(none).count() == 0
 
 
