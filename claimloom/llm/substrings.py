@@ -30,15 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, column, cut, free, mix, pieces, table
+from .common import Words, bitmap, column, cut, free, mix, pieces, table, within
 
 #: Words from which on a repeated line goes: all do.
 MIN_WORDS = 1
 #: Words from which on repeated sentences that follow one another are a passage.
 PASSAGE_WORDS = 30
 TINY = 4
-#: Digests with more than this share of all repeats are joined by broadcast: 1 / HOT_SHARE at most.
-HOT_SHARE = 1e-4
+#: Digests with more than this share of all repeats, and this number, are joined by broadcast: 1 / HOT_SHARE at most.
+HOT_SHARE, HOT_LEAST = 1e-4, 1000
+#: Bits of the sieve for each repeated digest, and of all as a power of two (32 MB).
+SIEVE, MOST_BITS = 16, 28
 _POWERS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)]
 NAMES = ["unit", "last", "line", "start", "end", "words"]
 UNITS = "doc_id long, row long, " + ", ".join(f"{n} int" for n in NAMES) + ", h1 long, h2 long"
@@ -97,17 +99,23 @@ def units_of(col: pa.Array) -> dict[str, np.ndarray]:
     inside = v < len(ends)
     u, v = u[inside], v[inside]
     u, v = u[text[u] == text[v]], v[text[u] == text[v]]
+    is_line = np.isin(u, line_first) & closes[v] & (v == line_last[np.searchsorted(line_last, u)])
+    u, v = u[~is_line], v[~is_line]  # which has its row already
     parts.append(rows(u, v, np.zeros(len(u), bool)))
     parts = [p for p in parts if p]
     return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
 
 
-def _units(rows: DataFrame) -> DataFrame:
-    """The units of rows (doc_id, row, text)."""
+def _units(rows: DataFrame, sieve: bytes | None = None) -> DataFrame:
+    """The units of rows (doc_id, row, text); with a sieve, those whose h1 it may hold."""
+    sent = rows.sparkSession.sparkContext.broadcast(sieve)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
             u = units_of(b.column(2))
+            if sent.value is not None:
+                keep = within(sent.value, u["h1"])
+                u = {k: x[keep] for k, x in u.items()}
             at = pa.array(u["text"])
             cols = [b.column(0).take(at), b.column(1).take(at)]
             cols += [pa.array(u[k].astype(np.int32)) for k in NAMES] + [pa.array(u[k]) for k in ("h1", "h2")]
@@ -116,18 +124,19 @@ def _units(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, UNITS)
 
 
-def _later(units: DataFrame) -> DataFrame:
-    """The units that occurred before, with `origin`, the doc_id of the first occurrence.
+def _later(rows: DataFrame) -> DataFrame:
+    """The units of rows (doc_id, row, text) that occurred before, with `origin`, the doc_id of the first occurrence.
 
     Units meet their digest's first occurrence by shuffle; those of digests with more than
     HOT_SHARE of all repeats, of which there can't be many, by broadcast instead, so no task
-    gets them all.
+    gets them all. A bitmap of the repeated digests, of SIEVE bits for each and MOST_BITS at
+    most, keeps most other units from being shuffled; beyond that size it lets more through.
     """
     place = F.struct("doc_id", "row", "unit")
-    known = units.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"))
-    known = cut(known.where("first <> last").drop("last"))
-    total = known.agg(F.sum("n")).first()[0] or 0
-    hot = F.col("n") > F.lit(max(1000, int(total * HOT_SHARE)))
+    known = cut(_units(rows).groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"))
+    total, kinds = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    units = _units(rows, bitmap(known.select("h1"), min(MOST_BITS, max(16, (SIEVE * kinds).bit_length()))))
+    hot = F.col("n") > F.lit(max(HOT_LEAST, int(total * HOT_SHARE)))
     few = F.broadcast(known.where(hot).select("h1", "h2", F.col("first").alias("hot_first")))
     marked = units.join(few, ["h1", "h2"], "left")
     spread = F.col("hot_first").isNotNull()  # under a key that no digest has, dealt out evenly
@@ -164,7 +173,7 @@ def passages(units: list[dict], min_words: int, passage_words: int) -> list[list
 def _repeats(rows: DataFrame, min_words: int, passage_words: int) -> DataFrame:
     """repeats() of rows (doc_id, row, text), with `row`."""
     item = F.struct("unit", "last", "line", "start", "end", "words", "origin")
-    per_row = _later(_units(rows)).groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.collect_list(item).alias("units"))
+    per_row = _later(rows).groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.collect_list(item).alias("units"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):

@@ -111,7 +111,7 @@ def test_components(spark):
 
 
 def test_components_with_hubs(spark, monkeypatch):
-    monkeypatch.setattr(common, "HUB_LEAST", 3)
+    monkeypatch.setattr(common, "HOT_LEAST", 3)
     edges = [(1000, i) for i in range(0, 200, 2)] + [(5, i) for i in range(1, 200, 4)] + [(199, 300), (300, 301), (401, 400)]
     got = {r["node"]: r["component"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     up = {x: x for e in edges for x in e}
@@ -391,7 +391,7 @@ def test_substrings_against_brute_force(spark, how, monkeypatch):
     want = removed_by_hand(rows, *how)
     assert want and got() == want
     if how == (1, 30):  # the commonest digests by broadcast
-        monkeypatch.setattr(substrings, "max", lambda *_: 5, raising=False)
+        monkeypatch.setattr(substrings, "HOT_LEAST", 5)
         assert got() == want
 
 
