@@ -183,6 +183,45 @@ def shingle_set(w: np.ndarray, n: int = 5) -> np.ndarray:
     return np.unique(grams(w, n))
 
 
+# ---------------------------------------------------------------- sieves and skewed joins
+
+
+def bitmap(hashes: DataFrame, bits: int) -> bytes:
+    """The one column of hashes, longs, as a bitmap of 2**bits bits: a sieve of a size that is set."""
+    at = hashes.toDF("h").select(F.pmod("h", F.lit(1 << bits)).alias("p"))
+    parts = at.groupBy(F.shiftright("p", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("p") % (1 << 15)).alias("b"))
+    out = bytearray(1 << (bits - 3))
+    for part, b in parts.toLocalIterator():  # 2**(bits - 15) rows of 4 KB at most
+        out[part << 12 : (part + 1) << 12] = b
+    return bytes(out)
+
+
+def within(sieve: bytes, hashes: np.ndarray) -> np.ndarray:
+    """Whether the bitmap may hold each of the hashes (signed longs)."""
+    at = hashes & (len(sieve) * 8 - 1)
+    return np.frombuffer(sieve, np.uint8)[at >> 3] >> (at & 7) & 1 == 1
+
+
+#: A key with more than this share of all rows, and this number, is hot: 1 / HOT_SHARE keys at most.
+HOT_SHARE, HOT_LEAST = 1e-4, 500
+
+
+def skew_join(rows: DataFrame, facts: DataFrame, key: str, weight: str, total: int, salt: str) -> DataFrame:
+    """rows with the facts of their key, where it has any; facts: one row a key, with its number of rows.
+
+    The rows of hot keys meet their facts by broadcast and are dealt out by salt, so no task
+    gets them all; the others meet theirs by shuffle.
+    """
+    hot = F.col(weight) > max(HOT_LEAST, int(total * HOT_SHARE))
+    names = [c for c in facts.columns if c != key]
+    few = F.broadcast(facts.where(hot).select(key, *[F.col(c).alias(f"__hot_{c}") for c in names], F.lit(True).alias("__hot")))
+    marked = rows.join(few, key, "left")
+    marked = marked.withColumn("__k", F.when(F.col("__hot"), F.xxhash64(salt)).otherwise(F.col(key).cast("long"))).withColumn("__k2", F.when(F.col("__hot").isNull(), F.lit(0)))
+    rest = facts.where(~hot).select(F.col(key).cast("long").alias("__k"), F.lit(0).alias("__k2"), *[F.col(c).alias(f"__{c}") for c in names], F.lit(True).alias("__rest"))
+    found = marked.join(rest, ["__k", "__k2"], "left").where("__hot is not null or __rest is not null")
+    return found.select(*rows.columns, *[F.coalesce(f"__hot_{c}", f"__{c}").alias(c) for c in names])
+
+
 # ---------------------------------------------------------------- components
 
 
@@ -193,21 +232,6 @@ def _stars(e: DataFrame) -> bool:
     return roles.where("out > 1 or out = 1 and `in` = 1").limit(1).count() == 0
 
 
-#: A node with more than this share of all ends of edges is a hub: 1 / HUB_SHARE hubs at most.
-HUB_SHARE, HUB_LEAST = 1e-4, 500
-
-
-def _with_low(e: DataFrame, low: DataFrame, total: int) -> DataFrame:
-    """e (a, b) with m of low (a, m, n); the many rows of hubs meet theirs by broadcast."""
-    hub = F.col("n") > max(HUB_LEAST, int(total * HUB_SHARE))
-    hubs = F.broadcast(low.where(hub).select("a", F.col("m").alias("hub_m")))
-    marked = e.join(hubs, "a", "left")
-    spread = F.col("hub_m").isNotNull()  # under keys that match nothing, dealt out evenly
-    marked = marked.withColumn("k", F.when(spread, F.col("b")).otherwise(F.col("a"))).withColumn("k2", F.when(~spread, F.lit(0)))
-    rest = low.where(~hub).select(F.col("a").alias("k"), F.lit(0).alias("k2"), "m")
-    return marked.join(rest, ["k", "k2"], "left").select("a", "b", F.coalesce("hub_m", "m").alias("m"))
-
-
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of the graph of edges (a, b), component: its smallest node.
 
@@ -221,9 +245,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         total = 2 * e.count()
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
-        large = cut(_with_low(both.where("b > a"), low, total).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        large = cut(skew_join(both.where("b > a"), low, "a", "n", total, "b").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = _with_low(large, low, total).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        small = skew_join(large, low, "a", "n", total, "b").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         e = cut(small.where("a <> b").distinct())
         release(e.sparkSession)
     else:

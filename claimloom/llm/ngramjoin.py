@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, components, cut, hinted, mix, release, shingle_set, pieces, table
+from .common import Words, bitmap, components, cut, hinted, mix, pieces, release, shingle_set, skew_join, table, within
 
 N, PERCENT = 5, 80
 #: Most common shingles that are broadcast with their counts; 12 bytes each.
@@ -289,19 +289,9 @@ def postings(docs: DataFrame, total: int, common, n: int, percent: int, heavy: d
     return packed.groupBy("bucket").applyInArrow(meet, POSTINGS)
 
 
-def id_bitmap(ids: DataFrame, bits: int = BITMAP) -> bytes:
-    """Hashes of ids as a bitmap of 2**bits bits: a first sieve of a fixed size."""
-    at = ids.select(F.pmod("cid", F.lit(1 << bits)).alias("p"))  # digests are hashes already
-    parts = at.groupBy(F.shiftright("p", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("p") % (1 << 15)).alias("b"))
-    out = bytearray(1 << (bits - 3))
-    for part, b in parts.toLocalIterator():  # 2**(bits - 15) rows of 4 KB at most
-        out[part << 12 : (part + 1) << 12] = b
-    return bytes(out)
-
-
 def set_table(docs: DataFrame, wanted: DataFrame, n: int, heavy: dict[int, int | None]) -> DataFrame:
     """(cid, items) for wanted (cid): the sets, as packed sorted hashes, made from the texts."""
-    sent = docs.sparkSession.sparkContext.broadcast(id_bitmap(wanted))
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select("cid"), BITMAP))  # digests are hashes already
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
@@ -309,8 +299,7 @@ def set_table(docs: DataFrame, wanted: DataFrame, n: int, heavy: dict[int, int |
                 made = dict(_once(part, n, heavy))
                 cids = np.array(list(made), np.int64)
                 if len(cids):
-                    at = cids & ((1 << BITMAP) - 1)
-                    keep = cids[np.frombuffer(sent.value, np.uint8)[at >> 3] >> (at & 7) & 1 == 1]
+                    keep = cids[within(sent.value, cids)]
                     yield pa.RecordBatch.from_arrays([pa.array(keep), pa.array([made[c].astype("<u8").tobytes() for c in keep.tolist()], pa.binary())], names=["cid", "items"])
 
     found = _texts(docs).mapInArrow(run, "cid long, items binary")
@@ -424,13 +413,14 @@ def links(docs: DataFrame, rows: DataFrame, n: int = N, percent: int = PERCENT)
     big = big.join(held, "cid").join(beside, "cid", "left").withColumn("beside", F.coalesce("beside", F.lit(0)))
     big = cut(big.where(F.col("held_first") + F.col("beside") >= floor_).withColumn("most_shared", F.col("held") + F.col("beside")).select("token", "cid", "size", "need", "level", "most_shared"))
 
+    posted = big.count()
     used = small.select(F.col("a").alias("cid")).union(small.select("b")).union(big.select("cid")).distinct()
     sets = cut(set_table(docs, cut(used), n, heavy))
     sigs = cut(signatures(sets))
     edges = cut(verified(small, sets, percent))
     release(docs.sparkSession)
     fit = F.least("size", "hs") * 100 >= F.greatest("size", "hs") * percent
-    within = F.greatest("level", "hl") <= F.least("need", "hn")
+    in_need = F.greatest("level", "hl") <= F.least("need", "hn")
     ends = [F.least("cid", "h").alias("a"), F.greatest("cid", "h").alias("b")]
     for turn in ("drawn", "likeliest", "all"):
         release(docs.sparkSession)
@@ -441,12 +431,12 @@ def links(docs: DataFrame, rows: DataFrame, n: int = N, percent: int = PERCENT)
         open_ = cut(per.where("groups > 1").select("token", "m", "most", "c"))
         if not open_.take(1):
             break
-        now = cut(now.join(open_, "token"))
+        now = cut(skew_join(now, open_, "token", "m", posted, "cid"))
         release(docs.sparkSession)
         side = [F.col("cid").alias("h"), F.col("size").alias("hs"), F.col("need").alias("hn"), F.col("level").alias("hl"), F.col("component").alias("hc")]
         if turn == "drawn":  # one class of each shingle
             drawn = now.groupBy("token").agg(F.min_by(F.struct(*side), F.xxhash64("token", "cid")).alias("x")).select("token", "x.*")
-            pairs = now.join(drawn, "token").where("component <> hc").where(fit & within).select(F.col("cid").alias("a"), F.col("h").alias("b")).distinct()
+            pairs = now.join(drawn, "token").where("component <> hc").where(fit & in_need).select(F.col("cid").alias("a"), F.col("h").alias("b")).distinct()
             best = sieved(pairs, sigs, percent).groupBy("a").agg(F.max_by("b", "share").alias("b"))
             pairs = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             edges = cut(edges.unionByName(verified(pairs, sets, percent)))
@@ -462,7 +452,7 @@ def links(docs: DataFrame, rows: DataFrame, n: int = N, percent: int = PERCENT)
             continue
         rare = now.where(F.col("m") > GATHER)
         few = rare.where("component <> most").select("token", *side)
-        wide = rare.join(few, "token").where("component <> hc").where(fit & within).where("component = most or cid < h").select(*ends, F.lit(1).cast("long").alias("n"), F.least("need", "hn").cast("int").alias("need"))
+        wide = rare.join(few, "token").where("component <> hc").where(fit & in_need).where("component = most or cid < h").select(*ends, F.lit(1).cast("long").alias("n"), F.least("need", "hn").cast("int").alias("need"))
         shared = some.unionByName(wide).groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need"))
         before = counted.select("a", "b", F.col("n").alias("n_small"))
         pairs = shared.join(before, ["a", "b"], "left").where("n + coalesce(n_small, 0) >= need and coalesce(n_small, 0) < need").select("a", "b")
