@@ -144,6 +144,13 @@ def test_alignment(spark, quote, how):
         assert r["window_text"][hit["start"] : hit["end"]] == hit["quote"]
 
 
+def test_three_digits_as_the_binary_value_has_them(spark):
+    rng = random.Random(6)
+    xs = [k / 2000 for k in range(2001)] + [rng.random() for _ in range(3000)] + [0.0005, 0.0625, 0.3125, 1.0, 0.0, 5e-324]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", R.digits3(F.col("x")).alias("y")).collect()
+    assert all(r["y"] == round(r["x"], 3) for r in got) and len(got) == len(xs)
+
+
 def replies():
     first = [
         {"text": "The northern grid lost 14% of its load in 2021.", "quotes": ["The northern grid lost 14% of its load in 2021."], "kind": "assertion", "claim_type": "statistical", "stance": "author", "hedge": [0.8, 0.9]},
