@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import argparse
 import sys
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import ENGINE_VERSION
+from .operators.propose import TEMPLATE
 from .plans.analyze import analyze
 from .plans.report import bench, bench_report, document_reports
 from .schemas import REPLIES
 from .sources import files
+from .sources.transports import from_environment
 
 
 def _replies(spark: SparkSession, path: str | None):
@@ -23,7 +26,8 @@ def _analyze(spark: SparkSession, a: argparse.Namespace) -> int:
     docs = files.read_texts(spark, a.path)
     if a.doc_id or a.title:
         docs = docs.withColumn("doc_id", F.lit(a.doc_id) if a.doc_id else F.col("doc_id")).withColumn("title", F.lit(a.title) if a.title else F.col("title"))
-    art = analyze(docs, _replies(spark, a.replies), not a.no_assemble)
+    template = Path(a.template).read_text(encoding="utf-8") if a.template else TEMPLATE
+    art = analyze(docs, _replies(spark, a.replies), not a.no_assemble, ask=from_environment() if a.ask else None, template=template)
     files.write_artifact(art, a.out)
     document_reports(art, docs).write.mode("overwrite").parquet(f"{a.out}/reports")
     for s in art.stats.limit(20).collect():
@@ -57,6 +61,8 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--doc-id")
     p.add_argument("--title")
     p.add_argument("--replies", help="JSON lines of model replies; without it sentences propose themselves")
+    p.add_argument("--ask", action="store_true", help="ask the service that the environment names for what replies lack")
+    p.add_argument("--template", help="a file with the prompt for a window")
     p.add_argument("--out", default="out")
     p.add_argument("--no-assemble", action="store_true")
     p.set_defaults(fn=_analyze)

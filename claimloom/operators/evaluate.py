@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import replies as R
 from ..functions import text as T
+from .propose import fill
 
 CLAIM_FLOOR, THESIS_FLOOR = 0.5, 0.35
 
@@ -43,6 +44,25 @@ def unmatched(side: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     return side.join(pairs.select("doc_id", key), ["doc_id", key], "left_anti")
 
 
+JUDGE_TEMPLATE = """Gold statements:
+{GOLD}
+
+Other statements about the same document:
+{PRED}
+
+Which other statements say the same as which gold statements? Wording may differ; the subject,
+what is said of it and how surely must not. Reply with a JSON array of pairs alone, such as
+[["G0", "P3"]]; leave out what has no counterpart.
+"""
+
+
+def judge_prompts(pairs: DataFrame, gold: DataFrame, pred: DataFrame, template: str = JUDGE_TEMPLATE) -> DataFrame:
+    """(doc_id, prompt) of the documents in which both sides have statements left."""
+    rest = lambda side, key, mark: unmatched(side, pairs, key).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "text"))), lambda x: F.concat(F.lit(mark), x[key].cast("string"), F.lit(": "), x["text"])), "\n").alias(mark))
+    both = rest(gold, "i", "G").join(rest(pred, "j", "P"), "doc_id")
+    return both.select("doc_id", fill(template, {"GOLD": (F.col("G"), ""), "PRED": (F.col("P"), "")}).alias("prompt"))
+
+
 def judge(pairs: DataFrame, gold: DataFrame, pred: DataFrame, replies: DataFrame) -> DataFrame:
     """pairs and what stored verdicts add among the unmatched, in their order; score -1 marks them."""
     said = replies.where("stage = 'judge'").withColumn("v", R.verdicts_in(F.col("reply")))

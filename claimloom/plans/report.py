@@ -37,7 +37,7 @@ def document_reports(art: Artifact, titles: DataFrame) -> DataFrame:
     funnel = F.concat(F.format_string("- windows: %d · proposals: %d · accepted: %d · rejected: %d · merged: %d\n", "windows", "proposals", "accepted", "rejected", "dropped_duplicate"), F.when(F.size("rejected_by_stage") > 0, F.concat(F.lit("- rejections by stage: "), stages, F.lit("\n"))).otherwise(""), F.when(F.size("window_errors") > 0, F.concat(F.lit("- window errors: "), F.size("window_errors").cast("string"), F.lit("\n"))).otherwise(""))
     text = F.concat(
         F.lit("# "), F.coalesce(F.nullif(c("title"), F.lit("")), "doc_id"), F.lit("\n\n`"), "doc_id", F.lit("` · engine "), "engine_version", F.lit(" · prompt "), "prompt_version", F.lit("\n\n"),
-        block("Theses // Kernaussagen", "md_theses"), block("Points // per section", "md_points"), F.format_string("## Claims // Aussagen (%d)\n\n", "accepted"), F.coalesce(F.concat("md_claims", F.lit("\n\n")), F.lit("\n")), F.lit("## Funnel\n\n"), funnel,
+        block("What it argues", "md_theses"), block("Points by section", "md_points"), F.format_string("## Claims (%d)\n\n", "accepted"), F.coalesce(F.concat("md_claims", F.lit("\n\n")), F.lit("\n")), F.lit("## Counts\n\n"), funnel,
     )
     return df.select("doc_id", text.alias("report"))
 

@@ -1,9 +1,11 @@
 """The claim engine on small inputs of our own."""
 
 import difflib
+import http.server
 import json
 import random
 import re
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -20,7 +22,7 @@ from claimloom.plans.analyze import analyze
 from claimloom.plans.queries import QUERIES
 from claimloom.plans.report import document_reports
 from claimloom.schemas import REPLIES
-from claimloom.sources import files
+from claimloom.sources import files, transports
 
 DOC = """# Grid Note
 
@@ -186,12 +188,68 @@ def test_replies_end_to_end(spark, tmp_path):
     assert len(points) == 1 and len(points[0]["claim_ids"]) == 2
     assert len(theses) == 1 and theses[0]["point_ids"] == [points[0]["id"]] and len(theses[0]["claim_ids"]) == 1
     report = {r["doc_id"]: r["report"] for r in document_reports(art, docs).collect()}
-    assert "Kernaussagen" in report["g"] and "Funnel" in report["g"] and "window errors: 1" in report["junk"]
+    assert "What it argues" in report["g"] and "Counts" in report["g"] and "window errors: 1" in report["junk"]
     files.write_artifact(art, str(tmp_path / "out"))
     assert files.read_artifact(spark, str(tmp_path / "out"), "claims").count() == 3
     assert files.read_artifact(spark, str(tmp_path / "none"), "claims").count() == 0
 
 
+def test_live_replies(spark):
+    def ask(prompt):
+        if "Passage:" in prompt:
+            return "sorry" if "not JSON" not in prompt else json.dumps([{"text": "The northern grid lost 14% of its load.", "quotes": ["The northern grid lost 14% of its load in 2021."]}, {"text": "The northern grid losses were caused by ice on old lines.", "quotes": ["the losses were caused by ice on old lines"]}])
+        if "point that these" in prompt:
+            assert "[1] The northern grid lost" in prompt and "Section: Grid Note" in prompt
+            return json.dumps({"text": "The northern grid suffered losses from ice", "cites": [1, 2]})
+        assert "[1] (point) The northern" in prompt
+        return json.dumps([{"text": "The northern grid suffered losses from ice.", "cites": [1]}])
+
+    docs = spark.createDataFrame([("g", "Grid Note", DOC.split("\n\n## ")[0])], "doc_id string, title string, raw string")
+    art = analyze(docs, ask=ask)
+    assert art.claims.count() == 2 and art.points.count() == 1 and art.theses.first()["point_ids"]
+    gold = spark.createDataFrame([("d", 0, "a gold statement")], "doc_id string, i int, text string")
+    pred = spark.createDataFrame([("d", 4, "another one")], "doc_id string, j int, text string")
+    prompt = evaluate.judge_prompts(evaluate.greedy_match(evaluate.scores(gold, pred)), gold, pred).first()["prompt"]
+    assert "G0: a gold statement" in prompt and "P4: another one" in prompt
+
+
+def test_transports(monkeypatch, tmp_path):
+    waits, calls = [], []
+    monkeypatch.setattr(transports, "sleep", waits.append)
+    assert transports.command(["cat"])("[1]") == "[1]"
+    with pytest.raises(transports.TransportError):
+        transports.command(["false"], retries=1)("x")
+    assert waits == [2.0]
+
+    class Service(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            calls.append(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+            code = (429, 503, 200)[len(calls) - 1] if len(calls) < 4 else 404
+            body = json.dumps({"choices": [{"message": {"content": " [2] "}}]}).encode()
+            self.send_response(code)
+            if code == 429:
+                self.send_header("Retry-After", "300")
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *a):
+            pass
+
+    with http.server.HTTPServer(("127.0.0.1", 0), Service) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        ask = transports.http(f"http://127.0.0.1:{server.server_port}", "m", "t")
+        assert ask("hi") == "[2]" and waits[1:] == [90.0, 5.0] and calls[0]["messages"][0]["content"] == "hi"
+        with pytest.raises(transports.TransportError):
+            ask("hi")
+        server.shutdown()
+    with pytest.raises(transports.TransportError):
+        transports.http("http://x", "m", "")
+    monkeypatch.setenv("CLAIMLOOM_TRANSPORT", "command")
+    monkeypatch.setenv("CLAIMLOOM_COMMAND", "cat")
+    assert transports.from_environment()("x") == "x"
+
+
 def test_identity(spark):
     row = lambda pos, id_, text: ("d", id_, text, (0, pos), ["f" + str(pos)], [])
     rows = [row(0, "a", "alpha beta gamma delta epsilon"), row(1, "b", "alpha beta gamma delta epsilon!"), row(2, "c", "alpha beta gamma delta zeta omega"), row(3, "a", "other words entirely"), row(4, "d", "alpha beta gamma delta")]
