@@ -77,7 +77,7 @@ def with_structure(docs: DataFrame, text: str = "text", title: str = "title") ->
     df = df.withColumn("__p", F.filter(F.zip_with("__b", before, lambda b, s: F.struct(s.alias("s"), b.alias("b"))), lambda x: ~x["b"]["head"]))
     df = df.withColumn(
         "paragraphs",
-        F.transform("__p", lambda x, i: F.struct(F.concat(F.lit("p"), i.cast("string")).alias("id"), F.concat(F.lit("s"), x["s"].cast("string")).alias("section"), F.get("__h", x["s"])["title"].alias("section_path"), x["b"]["start"].cast("int").alias("start"), (x["b"]["start"] + F.length(x["b"]["text"])).cast("int").alias("end"), x["b"]["text"].alias("text"))),
+        T.let(F.col("__h"), lambda heads: F.transform("__p", lambda x, i: F.struct(F.concat(F.lit("p"), i.cast("string")).alias("id"), F.concat(F.lit("s"), x["s"].cast("string")).alias("section"), F.get(heads, x["s"])["title"].alias("section_path"), x["b"]["start"].cast("int").alias("start"), (x["b"]["start"] + F.length(x["b"]["text"])).cast("int").alias("end"), x["b"]["text"].alias("text")))),
     )
     return df.drop("__b", "__h", "__p")
 
