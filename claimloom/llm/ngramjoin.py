@@ -435,8 +435,8 @@ def links(docs: DataFrame, rows: DataFrame, n: int = N, percent: int = PERCENT)
         release(docs.sparkSession)
         side = [F.col("cid").alias("h"), F.col("size").alias("hs"), F.col("need").alias("hn"), F.col("level").alias("hl"), F.col("component").alias("hc")]
         if turn == "drawn":  # one class of each shingle
-            drawn = now.groupBy("token").agg(F.min_by(F.struct(*side), F.xxhash64("token", "cid")).alias("x")).select("token", "x.*")
-            pairs = now.join(drawn, "token").where("component <> hc").where(fit & in_need).select(F.col("cid").alias("a"), F.col("h").alias("b")).distinct()
+            drawn = cut(now.groupBy("token").agg(F.min_by(F.struct(*side), F.xxhash64("token", "cid")).alias("x"), F.count("*").alias("hm")).select("token", "hm", "x.*"))
+            pairs = skew_join(now, drawn, "token", "hm", posted, "cid").where("component <> hc").where(fit & in_need).select(F.col("cid").alias("a"), F.col("h").alias("b")).distinct()
             best = sieved(pairs, sigs, percent).groupBy("a").agg(F.max_by("b", "share").alias("b"))
             pairs = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             edges = cut(edges.unionByName(verified(pairs, sets, percent)))
