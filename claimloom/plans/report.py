@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from types import SimpleNamespace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +45,8 @@ def document_reports(art: Artifact, titles: DataFrame) -> DataFrame:
     return df.select("doc_id", text.alias("report"))
 
 
-def bench(art: Artifact, labels: DataFrame, replies: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(per document, micro) metrics of an artifact against labels (doc_id, claims, theses)."""
+def bench(art: Artifact | SimpleNamespace, labels: DataFrame, replies: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(per document, micro) metrics of an artifact (its claims, theses and stats) against labels (doc_id, claims, theses)."""
     from ..sources.files import gold_texts
 
     gold, gold_theses = gold_texts(labels, "claims"), gold_texts(labels, "theses")
@@ -66,11 +69,20 @@ def bench(art: Artifact, labels: DataFrame, replies: DataFrame | None = None) ->
     return rows, micro
 
 
+def by_stage(rows: list) -> dict[str, int]:
+    """Rejections by stage over the rows of documents, most first."""
+    total = Counter()
+    for r in rows:
+        total.update(r["rejected_by_stage"] or {})
+    return dict(sorted(total.items(), key=lambda e: (-e[1], e[0])))
+
+
 def bench_report(rows: DataFrame, micro: DataFrame, name: str = "run") -> str:
     """The run as Markdown; a row per document comes to the driver."""
-    m = micro.first()
-    out = [f"# Bench: {m['docs']} docs, {name}", "", f"**micro P {m['precision']} · R {m['recall']} · F1 {m['f1']} · compression {m['compression']} · thesis recall {m['thesis_recall']}**", "", f"funnel: {m['proposals']} proposals, {m['rejected']} rejected", "", "| doc | gold | pred | match (judge) | P | R | F1 | compr | theses |", "|---|---|---|---|---|---|---|---|---|"]
-    got = sorted(rows.toLocalIterator(), key=lambda r: r["doc_id"])
+    m, got = micro.first(), sorted(rows.toLocalIterator(), key=lambda r: r["doc_id"])
+    stages = by_stage(got)
+    at = " (" + ", ".join(f"{k} {n}" for k, n in stages.items()) + ")" if stages else ""
+    out = [f"# Bench: {m['docs']} docs, {name}", "", f"**micro P {m['precision']} · R {m['recall']} · F1 {m['f1']} · compression {m['compression']} · thesis recall {m['thesis_recall']}**", "", f"funnel: {m['proposals']} proposals, {m['rejected']} rejected{at}", "", "| doc | gold | pred | match (judge) | P | R | F1 | compr | theses |", "|---|---|---|---|---|---|---|---|---|"]
     out += [f"| {r['doc_id']} | {r['gold']} | {r['pred']} | {r['matched']} ({r['judge_matched']}) | {r['precision']} | {r['recall']} | {r['f1']} | {r['compression']} | {r['matched_theses']}/{r['gold_theses']} |" for r in got]
     for r in got:
         for head, key in (("Missed gold claims", "unmatched_gold"), ("Unmatched predictions", "unmatched_pred")):

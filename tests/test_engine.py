@@ -289,6 +289,17 @@ def test_gold_folder_and_cli(spark, tmp_path, capsys):
     assert cli.main(["bench", "--gold", str(tmp_path), "--out", str(tmp_path / "b")]) == 0
     shown = capsys.readouterr().out
     assert "| grid-note | 2 |" in shown and "Missed gold claims" in shown
+    assert (tmp_path / "b" / "report.md").read_text(encoding="utf-8").strip() == shown.strip()
+    results = json.loads((tmp_path / "b" / "results.json").read_text(encoding="utf-8"))
+    assert results["summary"]["docs"] == 1 and results["docs"][0]["gold"] == 2 and results["summary"]["judge"] is False
+    for name, raw in (("late-note", "The southern grid gained 3% in 2022."), ("grid-note", "Other words now stand here.")):
+        (tmp_path / "docs" / f"{name}.md").write_text(raw, encoding="utf-8")
+    (tmp_path / "labels" / "late-note.json").write_text(json.dumps({"claims": [{"text": "The southern grid gained 3% in 2022."}], "theses": []}), encoding="utf-8")
+    assert cli.main(["bench", "--gold", str(tmp_path), "--out", str(tmp_path / "b"), "--reuse"]) == 0
+    again = json.loads((tmp_path / "b" / "results.json").read_text(encoding="utf-8"))
+    assert [d["doc_id"] for d in again["docs"]] == ["grid-note", "late-note"] and again["docs"][0] == results["docs"][0]
+    assert again["docs"][1]["matched"] == 1 and len(files.kept(spark, str(tmp_path / "b" / "store"))["stats"].collect()) == 2
+    assert files.kept(spark, str(tmp_path / "nowhere")) is None
     register(spark)
     assert spark.sql("SELECT json_salvage('x [1,] y').json AS j").first()["j"] == "[1]"
 
