@@ -191,7 +191,7 @@ def bitmap(hashes: DataFrame, bits: int) -> bytes:
     at = hashes.toDF("h").select(F.pmod("h", F.lit(1 << bits)).alias("p"))
     parts = at.groupBy(F.shiftright("p", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("p") % (1 << 15)).alias("b"))
     out = bytearray(1 << (bits - 3))
-    for part, b in parts.toLocalIterator():  # 2**(bits - 15) rows of 4 KB at most
+    for part, b in parts.collect():  # 2**(bits - 15) rows of 4 KB at most, in one job for all partitions
         out[part << 12 : (part + 1) << 12] = b
     return bytes(out)
 

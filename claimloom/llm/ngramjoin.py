@@ -166,7 +166,7 @@ def frequent(docs: DataFrame, total: int, n: int, heavy: dict[int, int | None],
     counted = cut(packed.groupBy("bucket").applyInArrow(add, "key long, df long"))
     step = F.floor(F.log2("df") * 8)
     floor_, held = None, 0
-    for s, c in sorted(counted.groupBy(step.alias("s")).count().toLocalIterator(), reverse=True):  # a few hundred steps
+    for s, c in sorted(counted.groupBy(step.alias("s")).count().collect(), reverse=True):  # a few hundred steps
         if held + c > most:
             break
         floor_, held = s, held + c
