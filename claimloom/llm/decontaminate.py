@@ -153,8 +153,11 @@ def _suites(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[tup
     """The benchmark in blocks, and whether one is the only one; the driver holds one at a time
     and the text that follows it."""
     rows, held, first = [], 0, True
-    items = benchmark.select(F.col("item_id").alias("i"), F.col("text").cast("string").alias("t")).where("t is not null").orderBy("i", "t")
-    for i, t in items.toLocalIterator():
+    items = benchmark.select(F.col("item_id").alias("i"), F.col("text").cast("string").alias("t")).where("t is not null")
+    size = items.agg(F.sum(F.octet_length("t") + F.coalesce(F.octet_length(F.col("i").cast("string")), F.lit(0)) + 64)).first()[0] or 0
+    ordered = items.orderBy("i", "t")
+    # what fits a block comes in one job; more, partition by partition
+    for i, t in ordered.collect() if size <= block_bytes else ordered.toLocalIterator():
         if rows and held + len(t.encode()) > block_bytes:
             yield Suite(rows, window), False
             rows, held, first = [], 0, False
