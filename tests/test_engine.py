@@ -146,6 +146,15 @@ def test_alignment(spark, quote, how):
         assert r["window_text"][hit["start"] : hit["end"]] == hit["quote"]
 
 
+@pytest.mark.parametrize("count", [255, 257, 70_000])
+def test_alignment_of_long_quotes(spark, count):
+    words = [f"Wörd{i}" for i in range(count)]
+    window, quote = "First words. " + "\n".join(words) + " and more.", "“" + "  ".join(words).upper() + "”"
+    hit = one(spark, dispose.aligned(F.col("q"), F.col("w")), q=quote, w=window)
+    assert (hit["how"], hit["start"], hit["quote"]) == ("normalized", 13, "\n".join(words))
+    assert one(spark, dispose.aligned(F.col("q"), F.col("w")), q=quote, w=window.replace(words[-1], "x"))["how"] is None
+
+
 def test_three_digits_as_the_binary_value_has_them(spark):
     rng = random.Random(6)
     xs = [k / 2000 for k in range(2001)] + [rng.random() for _ in range(3000)] + [0.0005, 0.0625, 0.3125, 1.0, 0.0, 5e-324]
