@@ -42,7 +42,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -532,12 +531,18 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Data
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def _cids(texts: pa.Array, n: int) -> pa.Array:
+    """The class of each text, made in pieces: Spark's batches are of 10,000 texts of any length."""
+    cut_up = pieces([pa.RecordBatch.from_arrays([texts], names=["text"])])
+    return pa.array([digest(s) for b in cut_up for s in _sets(b.column(0), n)], pa.int64())
+
+
 def _class(docs: DataFrame, n: int) -> DataFrame:
     """docs with `__cid`, the class of each row's text."""
 
-    @F.pandas_udf("long")
-    def cid(texts: pd.Series) -> pd.Series:
-        return pd.Series([digest(s) for s in _sets(pa.array(texts, pa.string(), from_pandas=True), n)], dtype="Int64")
+    @F.arrow_udf("long")
+    def cid(texts: pa.Array) -> pa.Array:
+        return _cids(texts, n)
 
     return docs.withColumn("__cid", cid(F.col("text").cast("string")))
 

@@ -145,6 +145,19 @@ def test_keep_one_goes_by_row(spark):
     assert len(rest) == 1 and rest[0] in {rows[8], rows[10]}
 
 
+def test_classes_are_made_in_pieces(spark, texts, monkeypatch):
+    import pyarrow as pa
+
+    col = pa.array([t for _, t in texts] * 60)
+    want = [ngramjoin.digest(s) for s in ngramjoin._sets(col, 5)]
+    asked, sets = [], ngramjoin._sets
+    monkeypatch.setattr(ngramjoin, "_sets", lambda c, n: asked.append((len(c), c.nbytes)) or sets(c, n))
+    assert ngramjoin._cids(col, 5).to_pylist() == want and ngramjoin._cids(col[:0], 5).to_pylist() == []
+    assert len(col) > 2000 and all(k == 1 or k <= common.PIECE_ROWS and b <= common.PIECE_BYTES for k, b in asked)
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(col.to_pylist())], "doc_id long, text string").coalesce(1)
+    assert [r["__cid"] for r in ngramjoin._class(d, 5).orderBy("doc_id").collect()] == want
+
+
 def test_sharding(docs, texts, none, spark, tmp_path):
     out = sharding.assign(docs, shards=4, slots=64)
     assert out.count() == len(texts) and sorted(out.columns) == sorted(docs.columns + ["_slot", "shard"])
