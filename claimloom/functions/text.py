@@ -22,6 +22,8 @@ while although though since until unless
 # What a token is, and how many first letters of it count.
 WORD = r"[A-Za-z0-9][A-Za-z0-9\-']*"
 KEY = 5
+#: Letters whose capital, by Unicode's full mapping, is several letters, and their capital in one.
+SPREAD = {c: "ẞ" if c == "ß" else c.title() if len(c.title()) == 1 else c for c in map(chr, range(0x250 * 512)) if len(c.upper()) > 1}
 #: Elements that one fold takes at a time: folds copy what they have made so far.
 CHUNK = 256
 
@@ -114,11 +116,17 @@ def squeeze(text: Column) -> Column:
     return strip(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def capital(letter: Column) -> Column:
+    """A small letter's capital as one letter: ẞ for ß, and the letter itself where none exists."""
+    upper = F.upper(letter)
+    return F.when(F.length(upper) == 1, upper).otherwise(F.translate(letter, "".join(SPREAD), "".join(SPREAD.values())))
+
+
 def claim_text(text: Column) -> Column:
     """A claim's wording: one line, a capital first, an end mark last. Null counts as empty."""
-    capital = lambda t: F.when(t.rlike(r"^\p{Ll}"), F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, F.lit(2), F.length(t)))).otherwise(t)
+    opened = lambda t: F.when(t.rlike(r"^\p{Ll}"), F.concat(capital(F.substring(t, 1, 1)), F.substring(t, F.lit(2), F.length(t)))).otherwise(t)
     ended = lambda t: F.when((t == "") | t.rlike(r"[.!?]$"), t).otherwise(F.concat(t, F.lit(".")))
-    return let(let(squeeze(F.coalesce(text, F.lit(""))), capital), ended)
+    return let(let(squeeze(F.coalesce(text, F.lit(""))), opened), ended)
 
 
 def content_tokens(text: Column) -> Column:

@@ -345,3 +345,8 @@ def test_fuzzy_align_reaches_every_sentence(spark, tmp_path):
         if r["n"] < 48:
             assert r["how"] == "fuzzy" and (r["start"], r["end"]) == spans[r["n"]]
     assert [(r["how"], r["start"]) for r in out if r["n"] == 48] == [(None, -1)]
+
+
+def test_capitals_are_one_letter(spark):
+    got = {t: one(spark, T.claim_text(F.col("t")), t=t) for t in ("ßen Weg.", "ﬁne", "ᾳ", "éa", "ŉ!")}
+    assert got == {"ßen Weg.": "ẞen Weg.", "ﬁne": "ﬁne.", "ᾳ": "ᾼ.", "éa": "Éa.", "ŉ!": "ŉ!"}
