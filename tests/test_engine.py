@@ -350,3 +350,14 @@ def test_fuzzy_align_reaches_every_sentence(spark, tmp_path):
 def test_capitals_are_one_letter(spark):
     got = {t: one(spark, T.claim_text(F.col("t")), t=t) for t in ("ßen Weg.", "ﬁne", "ᾳ", "éa", "ŉ!")}
     assert got == {"ßen Weg.": "ẞen Weg.", "ﬁne": "ﬁne.", "ᾳ": "ᾼ.", "éa": "Éa.", "ŉ!": "ŉ!"}
+
+
+def test_repeated_sentences_stand_where_they_stand(spark):
+    docs = spark.createDataFrame([("d", "T", "It was there. And it is so from above? And it is so from above? Ice cracked the lines. Ice cracked the lines.")], "doc_id string, title string, raw string")
+    art = analyze(docs)
+    text = art.documents.first()["text"]
+    spans = sorted((c["spans"][0]["start"], c["spans"][0]["quote"], tuple(c["spans"][0]["sent_ids"])) for c in art.claims.collect())
+    same = "And it is so from above?"  # without content tokens, so no claim is like another
+    first = text.find(same)
+    assert spans == [(first, same, ("t1",)), (text.find(same, first + 1), same, ("t2",)), (text.find("Ice"), "Ice cracked the lines.", ("t3",))]
+    assert art.stats.first()["dropped_duplicate"] == 1
