@@ -11,13 +11,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def documents_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
-    """A stream over Parquet files; the schema is that of the files there now."""
-    now = spark.read.parquet(path)
+    """A stream over Parquet files; the schema is that of the files there now. Few files are dealt out to all cores."""
+    now, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
+    spread = lambda s: s.repartition(cores) if len(now.inputFiles()) < cores else s
     stream = spark.readStream.schema(now.schema).option("maxFilesPerTrigger", files_per_batch)
     folder, _, name = path.rstrip("/").rpartition("/")
     if [f.rpartition("/")[2] for f in now.inputFiles()] == [name]:  # one file: streams read folders
-        return stream.option("pathGlobFilter", name).parquet(folder)
-    return stream.parquet(path)
+        return spread(stream.option("pathGlobFilter", name).parquet(folder))
+    return spread(stream.parquet(path))
 
 
 def funnel(disposed: DataFrame) -> DataFrame:
